@@ -1,0 +1,55 @@
+"""Joins that hold when one key owns a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_MOST_HOT = 1_024
+
+
+def hot_keys(
+    df: DataFrame, key: str, min_rows: int = 5_000_000, weight: str | None = None
+) -> DataFrame:
+    """Keys with at least `min_rows` rows, at most 1,024 of them, the largest first.
+
+    Only placement depends on this list, never the result: a hot key beyond the
+    1,024 largest owns less than a thousandth of the rows. Counting combines on the
+    map side.
+    """
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.groupBy(key).agg(size.alias("rows"))
+    heavy = counts.where((F.col("rows") >= min_rows) & F.col(key).isNotNull())
+    return heavy.orderBy(F.desc("rows"), key).limit(_MOST_HOT).select(key)
+
+
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    hot: DataFrame,
+    how: str = "left",
+    salts: int = 64,
+) -> DataFrame:
+    """Equi-join on `key` where hot keys of `left` are spread over `salts` tasks.
+
+    `hot` has at most 1,024 rows (see `hot_keys`), which bounds the broadcasts, and
+    `right` holds few rows per key; only its hot keys are repeated, once per salt.
+    """
+    marked = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    other_columns = [c for c in left.columns if c != key]
+    spread = F.pmod(F.xxhash64(*other_columns), F.lit(salts)).cast("int")
+    salted = (
+        left.join(marked, key, "left")
+        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
+        .drop("_hot")
+    )
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    repeated = (
+        right.join(marked, key, "left")
+        .withColumn("_salt", F.explode(copies))
+        .drop("_hot")
+    )
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
