@@ -29,9 +29,14 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that several consumers read (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a result that several consumers read to the shared folder, and read it back.
+
+    Cuts the lineage, survives lost executors, and the table's size is known to the
+    planner, which a checkpointed RDD's is not.
+    """
+    path = new_run_dir(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:

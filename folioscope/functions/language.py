@@ -29,9 +29,11 @@ def detect_language(
 ) -> Column:
     """The class with the largest share of letters, at least `floor`, else `default`.
 
-    Ties go to the class listed first, so list ideographic classes first.
+    Ties go to the class listed first, so list ideographic classes first. One pass over
+    the text keeps the letters of all classes; they are counted in what is left.
     """
-    counts = F.array(*[F.regexp_count(text, F.lit(f"[{c.letters}]")) for c in classes])
+    rest = "".join(c.letters for c in classes)
+    telling = F.regexp_replace(text, f"[^{rest}]+", "")
 
     def label(found: Column) -> Column:
         best = F.array_max(found)
@@ -41,4 +43,8 @@ def detect_language(
             F.get(names, (F.array_position(found, best) - 1).cast("int")),
         ).otherwise(F.lit(default))
 
-    return F.coalesce(let(counts, label), F.lit(default))
+    def counted(letters: Column) -> Column:
+        counts = [F.regexp_count(letters, F.lit(f"[{c.letters}]")) for c in classes]
+        return let(F.array(*counts), label)
+
+    return F.coalesce(let(telling, counted), F.lit(default))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.cluster import settle
 from folioscope.fixed_values import NO_SOURCE, UNKNOWN_AUTHOR
 from folioscope.functions.display import first_or_default, shown_number
 from folioscope.operators.skew import hot_keys, skew_join
@@ -46,22 +47,37 @@ def resolve_authors(
 
     Each name is looked up once however often it is written on papers.
     """
-    wanted = names.select("name").distinct()
-    found = wanted.join(merge_sources(profiles, order), "name", "left")
+    wanted = names.groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+    return _profiles_of(wanted, profiles, order).drop("rows")
+
+
+def _profiles_of(
+    counted: DataFrame, profiles: Mapping[str, DataFrame], order: Sequence[str]
+) -> DataFrame:
+    found = counted.join(merge_sources(profiles, order), "name", "left")
     return found.withColumns(
         {
             "affiliations": F.coalesce("affiliations", F.array().cast("array<string>")),
             "source_used": F.coalesce("source_used", F.lit(NO_SOURCE)),
         }
-    ).select("name", *PROFILE_FIELDS)
+    ).select("name", "rows", *PROFILE_FIELDS)
 
 
 def attach_profiles(
-    authored: DataFrame, resolved: DataFrame, min_hot_rows: int = 5_000_000
+    authored: DataFrame,
+    profiles: Mapping[str, DataFrame],
+    order: Sequence[str],
+    min_hot_rows: int = 5_000_000,
 ) -> DataFrame:
-    """Join profiles back to author rows; a name on a third of them is spread by salt."""
-    hot = hot_keys(authored, "name", min_hot_rows)
-    return skew_join(authored, resolved, "name", hot, "left")
+    """Author rows with their profiles; a name on a third of them is spread by salt.
+
+    Profiles and row counts of the distinct names are settled once: they give the
+    list of hot names and both sides of the join read the same table.
+    """
+    counted = authored.groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+    resolved = settle(_profiles_of(counted, profiles, order))
+    hot = hot_keys(resolved, "name", min_hot_rows)
+    return skew_join(authored, resolved.drop("rows"), "name", hot, "left")
 
 
 def nest_authors(
@@ -86,9 +102,8 @@ def enrich_with_authors(
     """Add `authors_info`; off, or without sources, the papers pass unchanged."""
     if not enabled or not order:
         return papers
-    authored = unnest_authors(papers, key)
-    resolved = resolve_authors(authored, profiles, order)
-    nested = nest_authors(attach_profiles(authored, resolved), key)
+    attached = attach_profiles(unnest_authors(papers, key), profiles, order)
+    nested = nest_authors(attached, key)
     return papers.join(nested, key, "left").withColumn(
         "authors_info",
         F.coalesce("authors_info", F.array().cast(nested.schema["authors_info"].dataType)),
@@ -105,38 +120,30 @@ def author_cards(resolved: DataFrame) -> DataFrame:
     )
 
 
-def author_metrics(
-    citations: DataFrame, min_hot_rows: int = 5_000_000
-) -> DataFrame:
+def author_metrics(citations: DataFrame) -> DataFrame:
     """Per `author`: `paper_count`, `citation_count`, `h_index` from rows
     (`author`, `citations`), one per paper.
 
-    The h-index h needs h papers with h citations each, so h * h is at most the total
-    citations. Counts above that root are cut to it, and equal counts merge, which
-    leaves at most root + 1 rows per author for the window, whatever the paper count.
+    An h-index of h needs h papers with h citations each, so h * h is at most the
+    author's citations. Counts above the root of the largest total are cut to it and
+    equal counts merge: the window sees at most root + 1 rows for any author, however
+    many papers that author has.
     """
     whole = F.floor(F.coalesce("citations", F.lit(0))).cast("long")
-    merged = citations.groupBy("author", whole.alias("c")).agg(
-        F.count(F.lit(1)).alias("n")
+    rows = citations.select("author", whole.alias("c"))
+    totals = rows.groupBy("author").agg(
+        F.count(F.lit(1)).alias("paper_count"), F.sum("c").alias("citation_count")
     )
-    totals = merged.groupBy("author").agg(
-        F.sum("n").alias("paper_count"),
-        F.sum(F.col("c") * F.col("n")).alias("citation_count"),
-    )
-    bounded = totals.select(
-        "author", F.ceil(F.sqrt(F.greatest("citation_count", F.lit(0)))).alias("bound")
-    )
-    hot = hot_keys(merged, "author", min_hot_rows)
-    clipped = (
-        skew_join(merged, bounded, "author", hot, "inner")
-        .groupBy("author", F.least("c", "bound").alias("c"))
-        .agg(F.sum("n").alias("n"))
+    largest = F.greatest(F.max("citation_count"), F.lit(0))
+    bound = totals.agg(F.ceil(F.sqrt(largest)).alias("bound")).scalar()
+    merged = rows.groupBy("author", F.least("c", bound).alias("c")).agg(
+        F.count(F.lit(1)).alias("n")
     )
     most_first = W.partitionBy("author").orderBy(F.desc("c"))
     at_least = F.sum("n").over(most_first.rowsBetween(W.unboundedPreceding, 0))
     indexed = (
-        clipped.select("author", F.least("c", at_least).alias("h"))
+        merged.select("author", F.least("c", at_least).alias("h"))
         .groupBy("author")
-        .agg(F.max("h").alias("h_index"))
+        .agg(F.greatest(F.max("h"), F.lit(0)).alias("h_index"))
     )
     return totals.join(indexed, "author")

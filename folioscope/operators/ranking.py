@@ -22,7 +22,9 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def rank_all(scored: DataFrame) -> DataFrame:
-    """Everything in rank order: a range-partitioned sort. Keep texts out of it."""
+    """Everything in rank order: a range-partitioned sort, which reads its input twice
+    (once to choose the ranges). Settle computed scores first; keep texts out of it.
+    """
     return scored.orderBy(*best_first())
 
 

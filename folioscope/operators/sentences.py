@@ -68,9 +68,9 @@ def outline(papers: DataFrame, text: str = "full_text") -> DataFrame:
     lines = []
     for number, section in enumerate(SECTIONS):
         start = F.lit(number) * share + F.least(F.lit(number), extra)
-        lead = F.array_join(
-            F.slice(F.split(F.get("_parts", start), r"\s+"), 1, PHRASE_WORDS), " "
-        )
+        # The split stops after the phrase; the rest of the paragraph stays one piece.
+        words = F.split(F.get("_parts", start), r"\s+", PHRASE_WORDS + 1)
+        lead = F.array_join(F.slice(words, 1, PHRASE_WORDS), " ")
         line = F.concat(F.lit(f"  - {section}\n    - "), lead)
         lines.append(F.when(count > number, line))
     return cut.select(

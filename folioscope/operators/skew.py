@@ -8,17 +8,13 @@ from pyspark.sql import functions as F
 _MOST_HOT = 1_024
 
 
-def hot_keys(
-    df: DataFrame, key: str, min_rows: int = 5_000_000, weight: str | None = None
-) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, min_rows: int = 5_000_000) -> DataFrame:
     """Keys with at least `min_rows` rows, at most 1,024 of them, the largest first.
 
-    Only placement depends on this list, never the result: a hot key beyond the
-    1,024 largest owns less than a thousandth of the rows. Counting combines on the
-    map side.
+    `counts` has one row per key: the key and `rows`. Only placement depends on the
+    list, never the result: a hot key beyond the 1,024 largest owns less than a
+    thousandth of the rows.
     """
-    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = df.groupBy(key).agg(size.alias("rows"))
     heavy = counts.where((F.col("rows") >= min_rows) & F.col(key).isNotNull())
     return heavy.orderBy(F.desc("rows"), key).limit(_MOST_HOT).select(key)
 

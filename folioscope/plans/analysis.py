@@ -178,7 +178,9 @@ def _answers(
     model_fn: ModelFn,
     path: str,
 ) -> DataFrame:
-    todo = misses(readable, records, task_field)
+    pending = misses(readable.select("paper_id"), records, task_field)
+    # Ids decide; with few of them no text is shuffled.
+    todo = readable.join(broadcast_if_small(pending), "paper_id", "left_semi")
     prompts = todo.select("paper_id", prompt.alias("prompt"))
     return infer_once(prompts, task, model_fn, path).where(F.col("error").isNull())
 

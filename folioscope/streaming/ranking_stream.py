@@ -13,9 +13,6 @@ from folioscope.operators.ranking import top_k
 
 Score = Callable[[DataFrame], DataFrame]
 
-_PROGRESS = "batch BIGINT, arrived BIGINT, analysed BIGINT"
-
-
 def _at(path: str, part: str, batch: int) -> str:
     return f"{path}/{part}/at={batch}"
 
@@ -33,13 +30,18 @@ def rank_stream(papers: DataFrame, score: Score, k: int, path: str) -> DataStrea
     failure leaves the same files.
     """
     spark = papers.sparkSession
-    empty = spark.createDataFrame([], papers.schema)
-    top_k(split_or_all(score(empty))[0], k).write.mode("overwrite").parquet(
-        _at(path, "best", -1)
-    )
-    spark.createDataFrame([(-1, 0, 0)], _PROGRESS).write.mode("overwrite").parquet(
-        _at(path, "progress", -1)
+    start = spark.range(1)
+    shape = score(spark.createDataFrame([], papers.schema)).schema
+    nothing = start.where("false").select(
+        [F.lit(None).cast(f.dataType).alias(f.name) for f in shape.fields]
     )
+    nothing.write.mode("overwrite").parquet(_at(path, "best", -1))
+    zero = F.lit(0).cast("bigint")
+    start.select(
+        F.lit(-1).cast("bigint").alias("batch"),
+        zero.alias("arrived"),
+        zero.alias("analysed"),
+    ).write.mode("overwrite").parquet(_at(path, "progress", -1))
 
     def absorb(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession

@@ -79,7 +79,7 @@ def card(spark, sf_dir):
                coalesce(string_agg(a.name || ':' || coalesce(CAST(r.h_index AS VARCHAR), 'N/A')
                  || ':' || r.affiliations || ':' || r.source_used, ';' ORDER BY a.pos), '')
                  AS authors_info
-        FROM (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS id FROM lineitem) p
+        FROM (SELECT CAST(event_id AS VARCHAR) AS id FROM events) p
         LEFT JOIN authored a ON a.id = p.id
         LEFT JOIN resolved r ON r.name = a.name
         GROUP BY p.id""",

@@ -130,29 +130,30 @@ CTES = {
                round((3 + 4 * quality + 5.0::DOUBLE + 8 - 3 * toxic) / 3, 2) AS total_score,
                '' AS raw_response, CASE WHEN quality = 1 THEN 'done' END AS translation
         FROM labels""",
-    "author_lines": r"""
-        SELECT CAST(l_orderkey AS VARCHAR) AS id, l_linenumber, l_suppkey,
-               CASE WHEN l_returnflag = 'R' THEN 'Unknown'
-                    ELSE 'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') END AS name
-        FROM lineitem""",
     "authored": r"""
         SELECT id, pos, name FROM (
-          SELECT id, name, row_number() OVER (
-                   PARTITION BY id ORDER BY l_linenumber, l_suppkey, name) - 1 AS pos
-          FROM author_lines)
+          SELECT id, pos - 1 AS pos, names[pos] AS name FROM (
+            SELECT *, unnest(range(1, 4)) AS pos FROM (
+              SELECT CAST(event_id AS VARCHAR) AS id,
+                     ['Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0'),
+                      CASE event_type WHEN 'error' THEN 'Unknown' WHEN 'signup' THEN ''
+                           ELSE 'Customer#' || lpad(CAST(user_id + 1 AS VARCHAR), 9, '0') END,
+                      'Customer#' || lpad(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 9, '0')
+                     ] AS names
+              FROM events)))
         WHERE name <> '' AND name <> 'Unknown'""",
     "flat": r"""
-        SELECT s_name AS name, CASE WHEN s_nationkey >= 3 THEN s_nationkey + 1 END AS h_index,
-               CAST(floor(s_acctbal / 10) AS INTEGER) AS paper_count,
-               CAST(floor(s_acctbal) AS INTEGER) AS citation_count,
+        SELECT c_name AS name, CASE WHEN c_nationkey >= 3 THEN c_nationkey + 1 END AS h_index,
+               CAST(floor(c_acctbal / 10) AS INTEGER) AS paper_count,
+               CAST(floor(c_acctbal) AS INTEGER) AS citation_count,
                n_name AS affiliation, 'semantic_scholar' AS source_used
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 3000""",
+        FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 3000""",
     "nested": r"""
-        SELECT s_name AS name, n_regionkey * 10 + 5 AS h_index,
-               CAST(s_suppkey + 7 AS INTEGER) AS paper_count,
-               CAST(s_suppkey * 3 AS INTEGER) AS citation_count,
+        SELECT c_name AS name, n_regionkey * 10 + 5 AS h_index,
+               CAST(c_custkey + 7 AS INTEGER) AS paper_count,
+               CAST(c_custkey * 3 AS INTEGER) AS citation_count,
                n_name AS affiliation, 'openalex' AS source_used
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        FROM customer JOIN nation ON c_nationkey = n_nationkey
         WHERE n_regionkey BETWEEN 1 AND 3""",
     "resolved": r"""
         SELECT n.name,
@@ -177,7 +178,6 @@ _NEEDS = {
     "scored": ["insights", "rated"],
     "candidates": ["scored"],
     "best": ["candidates"],
-    "authored": ["author_lines"],
     "resolved": ["authored", "flat", "nested"],
 }
 

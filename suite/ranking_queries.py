@@ -47,7 +47,8 @@ def insight_topk(spark, sf_dir):
 
 @query("rank_all", sql(f"SELECT id, published, final_score FROM scored ORDER BY {BEST_FIRST}", "scored"))
 def ranked(spark, sf_dir):
-    return rank_all(scored(spark, sf_dir).select("id", "published", "final_score"))
+    narrow = scored(spark, sf_dir).select("id", "published", "final_score")
+    return rank_all(settle(narrow))
 
 
 @query("topk_ranked", sql("SELECT rank, id, title, final_score FROM best", "best"))

@@ -5,7 +5,7 @@ Every view covers its whole table and every text is whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.display import pdf_link
@@ -95,43 +95,40 @@ def evaluation_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def author_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line: the supplier is an author of the order's paper."""
-    number = F.lpad(F.col("l_suppkey").cast("string"), 9, "0")
-    name = F.when(F.col("l_returnflag") == "R", "Unknown").otherwise(
-        F.concat(F.lit("Supplier#"), number)
-    )
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("id"),
-        "l_linenumber",
-        "l_suppkey",
-        name.alias("name"),
-    )
+def _customer(number) -> Column:
+    return F.concat(F.lit("Customer#"), F.lpad(number.cast("string"), 9, "0"))
 
 
 def authored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers with an author array, the shape the catalogue delivers.
+    """Papers with an author array, the shape the catalogue delivers: one per event.
 
-    An order has a handful of lines, so the arrays are short.
+    The user is the first author and the whole part of the value names the last, which
+    makes a few names very frequent. Some events have an unknown or blank author too.
     """
-    entry = F.struct("l_linenumber", "l_suppkey", "name")
-    lines = author_lines(spark, sf_dir).groupBy("id")
-    gathered = lines.agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    return gathered.select("id", F.col("e.name").alias("authors"))
+    kind = F.col("event_type")
+    odd = F.when(kind == "error", "Unknown").when(kind == "signup", "")
+    names = F.array(
+        _customer(F.col("user_id")),
+        F.coalesce(odd, _customer(F.col("user_id") + 1)),
+        _customer(F.floor("value")),
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("id"), names.alias("authors")
+    )
 
 
-def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
-    supplier = table(spark, sf_dir, "supplier")
-    return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
+    customer = table(spark, sf_dir, "customer")
+    return customer.join(nation, customer.c_nationkey == nation.n_nationkey)
 
 
 def flat_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of the first author service; poorer suppliers are not known to it."""
-    balance = F.col("s_acctbal")
+    """Answers of the first author service; poorer customers are not known to it."""
+    balance = F.col("c_acctbal")
     hit = F.struct(
-        F.col("s_name").alias("name"),
-        F.when(F.col("s_nationkey") >= 3, F.col("s_nationkey") + 1).alias("hIndex"),
+        F.col("c_name").alias("name"),
+        F.when(F.col("c_nationkey") >= 3, F.col("c_nationkey") + 1).alias("hIndex"),
         F.floor(balance / 10).cast("int").alias("paperCount"),
         F.floor(balance).cast("int").alias("citationCount"),
         F.array(
@@ -140,8 +137,8 @@ def flat_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = F.to_json(F.struct(F.array(hit, hit).alias("data")))
     payload = F.when(balance >= 3000, found).otherwise(F.lit('{"data": []}'))
-    return _suppliers(spark, sf_dir).select(
-        F.col("s_name").alias("name"), payload.alias("payload")
+    return _customers(spark, sf_dir).select(
+        F.col("c_name").alias("name"), payload.alias("payload")
     )
 
 
@@ -149,9 +146,9 @@ def nested_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of the second service, which covers three of the five regions."""
     institution = F.struct(F.col("n_name").alias("display_name"))
     hit = F.struct(
-        F.col("s_name").alias("display_name"),
-        (F.col("s_suppkey") + 7).cast("int").alias("works_count"),
-        (F.col("s_suppkey") * 3).cast("int").alias("cited_by_count"),
+        F.col("c_name").alias("display_name"),
+        (F.col("c_custkey") + 7).cast("int").alias("works_count"),
+        (F.col("c_custkey") * 3).cast("int").alias("cited_by_count"),
         F.struct((F.col("n_regionkey") * 10 + 5).alias("h_index")).alias("summary_stats"),
         F.array(F.struct(institution.alias("institution"))).alias("affiliations"),
     )
@@ -159,6 +156,6 @@ def nested_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.when(F.col("n_regionkey").between(1, 3), found).otherwise(
         F.lit('{"results": []}')
     )
-    return _suppliers(spark, sf_dir).select(
-        F.col("s_name").alias("name"), payload.alias("payload")
+    return _customers(spark, sf_dir).select(
+        F.col("c_name").alias("name"), payload.alias("payload")
     )
