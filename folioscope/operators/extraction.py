@@ -72,9 +72,9 @@ def full_text_of_parts(
 ) -> DataFrame:
     """The first `max_chars` characters of each document from its parts.
 
-    Exact: parts are shortened to the limit, and only those that start before it are
-    gathered. Each part but the first adds its line break, so at most `max_chars` of
-    them can be needed.
+    Exact: parts are shortened to the limit, and only those that start up to it are
+    gathered (one that starts at the limit still gives its line break). Each part but
+    the first adds a line break, so at most `max_chars` + 1 of them can be needed.
     """
     order = W.partitionBy(doc).orderBy("part")
     before = F.sum(F.length("text") + 1).over(
@@ -83,7 +83,7 @@ def full_text_of_parts(
     needed = (
         parts.select(doc, "part", head_chars(F.col("text"), max_chars).alias("text"))
         .withColumn("start", F.coalesce(before, F.lit(0)))
-        .where(F.col("start") < max_chars)
+        .where(F.col("start") <= max_chars)
     )
     entry = F.struct("part", "text")
     gathered = needed.groupBy(doc).agg(F.sort_array(F.collect_list(entry)).alias("e"))

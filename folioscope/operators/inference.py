@@ -18,11 +18,14 @@ ModelFn = Callable[[Sequence[str]], Sequence[str]]
 RATING_FIELDS = ("innovation", "rigor", "impact", "total_score", "raw_response")
 
 
-def infer(pending: DataFrame, task: str, model_fn: ModelFn) -> DataFrame:
+def infer(
+    pending: DataFrame, task: str, model_fn: ModelFn, batch_rows: int = 64
+) -> DataFrame:
     """Columns `paper_id`, `prompt` to `paper_id`, `task`, `raw_response`, `error`.
 
-    `model_fn` gets the prompts of an Arrow batch. When a batch fails its prompts are
-    tried one by one, so a single bad paper gives one error row and the rest go on.
+    `model_fn` gets up to `batch_rows` prompts at a time; the partitions of `pending`
+    bound how many calls run at once. When a batch fails its prompts are tried one by
+    one, so a single bad paper gives one error row and the rest go on.
     """
 
     def answer(prompts: list[str]) -> list[tuple[str | None, str | None]]:
@@ -37,15 +40,15 @@ def infer(pending: DataFrame, task: str, model_fn: ModelFn) -> DataFrame:
             return [answer([prompt])[0] for prompt in prompts]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            done = pd.DataFrame(
-                answer(batch["prompt"].tolist()), columns=["raw_response", "error"]
-            )
-            done.insert(0, "paper_id", batch["paper_id"].to_numpy())
-            done.insert(1, "task", task)
-            yield done
+        for arrived in batches:
+            for start in range(0, len(arrived), batch_rows):
+                batch = arrived.iloc[start : start + batch_rows]
+                done = pd.DataFrame(
+                    answer(batch["prompt"].tolist()), columns=["raw_response", "error"]
+                )
+                done.insert(0, "paper_id", batch["paper_id"].to_numpy())
+                done.insert(1, "task", task)
+                yield done
 
     replies = pending.select("paper_id", "prompt").mapInPandas(run, RESPONSE)
     return replies.withColumn("raw_response", strip_fence(F.col("raw_response")))

@@ -1,0 +1,94 @@
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+from tests.conftest import rows
+
+from folioscope.operators.counts import run_counts, split_failed, with_route
+from folioscope.operators.ranking import number_top_k, rank_all, running_best, top_k, with_texts
+
+
+def scored(spark, n=300, seed=5, groups=("a", "a", "a", "b", "c")):
+    rng = random.Random(seed)
+    start = datetime(2024, 1, 1)
+    data = [
+        (
+            f"{i:04d}",
+            rng.choice(groups),
+            start + timedelta(minutes=rng.randrange(0, 3000)),
+            rng.choice([None, *[x / 4 for x in range(20)]]),
+        )
+        for i in range(n)
+    ]
+    schema = "id STRING, source STRING, published TIMESTAMP, final_score DOUBLE"
+    return data, spark.createDataFrame(data, schema).repartition(5)
+
+
+def in_order(data):
+    return sorted(data, key=lambda r: (-(r[3] or 0.0), -r[2].timestamp(), r[0]))
+
+
+def test_order_and_rank(spark):
+    data, df = scored(spark)
+    expected = [r[0] for r in in_order(data)]
+    assert [r["id"] for r in rank_all(df).collect()] == expected
+    assert [r["id"] for r in top_k(df, 17).collect()] == expected[:17]
+    numbered = {r["rank"]: r["id"] for r in number_top_k(df, 5).collect()}
+    assert numbered == dict(enumerate(expected[:5], 1))
+    assert top_k(df, 1000).count() == 300
+    assert number_top_k(df.where("false"), 5).count() == 0
+
+
+def test_top_k_of_a_union_is_top_k_of_the_parts(spark):
+    _, df = scored(spark)
+    a, b = df.where("id < '0120'"), df.where("id >= '0120'")
+    for k in (1, 5, 50, 200):
+        assert rows(top_k(df, k)) == rows(top_k(top_k(a, k).union(top_k(b, k)), k))
+
+
+def test_texts_are_fetched_for_the_ranked_rows(spark):
+    data, df = scored(spark)
+    texts = spark.createDataFrame([(r[0], f"text {r[0]}") for r in data], "id STRING, body STRING")
+    got = with_texts(top_k(df, 3).select("id"), texts)
+    assert rows(got.select("body")) == sorted((f"text {r[0]}",) for r in in_order(data)[:3])
+
+
+@pytest.mark.parametrize("slot", ["1 hour", "10 minutes", "7 days"])
+def test_running_best_matches_brute_force(spark, slot):
+    data, df = scored(spark)
+    best: dict[str, float | None] = {}
+    expected = {}
+    for id_, source, _, score in sorted(data, key=lambda r: (r[2], r[0])):
+        seen = [s for s in (best.get(source), score) if s is not None]
+        best[source] = max(seen) if seen else None
+        expected[id_] = best[source]
+    got = {r["id"]: r["best_so_far"] for r in running_best(df, "source", slot=slot).collect()}
+    assert got == expected
+
+
+def test_counts(spark):
+    _, df = scored(spark)
+    relevant, done = F.col("source") == "a", F.col("final_score").isNotNull()
+    got = run_counts(df, relevant, done).first()
+    assert got["fetched"] == 300
+    assert got["total"] == df.where(relevant).count()
+    assert got["analysed"] == df.where(relevant & done).count()
+    assert got["progress"] == pytest.approx(got["analysed"] / got["total"])
+    nothing = run_counts(df.where("false"), relevant, done).first()
+    assert tuple(nothing) == (0, 0, 0, None)
+
+
+def test_good_and_failed_rows_are_the_input(spark):
+    data = [("1", None), ("2", "boom"), ("3", "")]
+    df = spark.createDataFrame(data, "id STRING, error STRING")
+    good, failed = split_failed(df)
+    assert rows(good.union(failed)) == rows(df)
+    assert rows(good) == [("1", None)]
+    assert {r["id"]: r["route"] for r in with_route(df).collect()} == {
+        "1": "good",
+        "2": "quarantine",
+        "3": "quarantine",
+    }
