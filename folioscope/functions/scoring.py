@@ -40,9 +40,14 @@ class BonusRules:
 
 def cue_tenths(lowered: Column, rule: CueRule) -> Column:
     """Bonus in tenths, an exact integer, of a lower-case text."""
-    hits = reduce(add, [lowered.contains(cue).cast("int") for cue in rule.cues])
-    banded = F.length(lowered).between(*rule.band).cast("int")
-    return F.least(F.lit(CAP_TENTHS), hits * CUE_TENTHS + banded * BAND_TENTHS)
+
+    def worth(test: Column, tenths: int) -> Column:
+        # Inside a lambda a CASE runs several times faster than a cast of a boolean.
+        return F.when(test, F.lit(tenths)).otherwise(F.lit(0))
+
+    hits = [worth(lowered.contains(cue), CUE_TENTHS) for cue in rule.cues]
+    banded = worth(F.length(lowered).between(*rule.band), BAND_TENTHS)
+    return F.least(F.lit(CAP_TENTHS), reduce(add, [*hits, banded]))
 
 
 def by_language(

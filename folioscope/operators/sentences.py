@@ -5,22 +5,43 @@ Both work inside the row, on arrays, so no text is ever shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.scoring import BonusRules, by_language, cue_tenths
 from folioscope.functions.text import strip
 
-SENTENCE_END = r"[.!?\x{3002}\x{FF01}\x{FF1F}\n]+"
+SENTENCE_END = r"[.!?\n]+"
+WIDE_MARKS = ("\u3002", "\uff01", "\uff1f")
+WIDE_SENTENCE_END = rf"[.!?{''.join(WIDE_MARKS)}\n]+"
 PARAGRAPH_END = r"\n+"
 SECTIONS = ("Introduction", "Method", "Experiment", "Conclusion")
 ROOT = "论文核心内容"
 PHRASE_WORDS = 15
 
 
-def pieces(text: str, end: str) -> Column:
-    """Trimmed, non-empty pieces of a text."""
-    return F.filter(F.transform(F.split(text, end), strip), lambda piece: piece != "")
+def _clean(parts: Column) -> Column:
+    return F.filter(F.transform(parts, strip), lambda piece: piece != "")
+
+
+def sentences(text: str) -> Column:
+    """Trimmed, non-empty sentences.
+
+    A character class with wide marks splits three times slower, so it is used only
+    for the texts that contain one.
+    """
+    wide = reduce(or_, [F.col(text).contains(mark) for mark in WIDE_MARKS])
+    parts = F.when(wide, F.split(text, WIDE_SENTENCE_END)).otherwise(
+        F.split(text, SENTENCE_END)
+    )
+    return _clean(parts)
+
+
+def paragraphs(text: str) -> Column:
+    return _clean(F.split(text, PARAGRAPH_END))
 
 
 def key_sentence(
@@ -33,7 +54,7 @@ def key_sentence(
     `bonus_tenths`. A text without sentences gives "" and 0.
     """
     keep = [F.col(c) for c in papers.columns]
-    cut = papers.select(*keep, pieces(text, SENTENCE_END).alias("_pieces"))
+    cut = papers.select(*keep, sentences(text).alias("_pieces"))
     low = cut.select(*keep, "_pieces", F.transform("_pieces", F.lower).alias("_low"))
     scored = low.select(
         *keep,
@@ -64,7 +85,7 @@ def outline(papers: DataFrame, text: str = "full_text") -> DataFrame:
     share = F.floor(count / len(SECTIONS)).cast("int")
     extra = count % len(SECTIONS)
     keep = [F.col(c) for c in papers.columns]
-    cut = papers.select(*keep, pieces(text, PARAGRAPH_END).alias("_parts"))
+    cut = papers.select(*keep, paragraphs(text).alias("_parts"))
     lines = []
     for number, section in enumerate(SECTIONS):
         start = F.lit(number) * share + F.least(F.lit(number), extra)
