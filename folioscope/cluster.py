@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DIR_KEY = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,10 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_DIR_KEY} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="folioscope-")
-    spark.conf.set(_DIR_KEY, folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="folioscope-")
+    return _local_folders[application]
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:

@@ -75,7 +75,7 @@ def card(spark, sf_dir):
     "author_enrich",
     sql(
         """
-        SELECT p.id, count(a.name) AS n_authors,
+        SELECT p.id, CAST(count(a.name) AS INTEGER) AS n_authors,
                coalesce(string_agg(a.name || ':' || coalesce(CAST(r.h_index AS VARCHAR), 'N/A')
                  || ':' || r.affiliations || ':' || r.source_used, ';' ORDER BY a.pos), '')
                  AS authors_info

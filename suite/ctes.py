@@ -121,7 +121,7 @@ CTES = {
     "candidates": rf"""
         SELECT * FROM scored WHERE {RECENT} AND {ON_TOPIC} AND {ANY_KEYWORD}""",
     "best": rf"""
-        SELECT *, row_number() OVER (ORDER BY {BEST_FIRST}) AS rank
+        SELECT *, CAST(row_number() OVER (ORDER BY {BEST_FIRST}) AS INTEGER) AS rank
         FROM candidates QUALIFY rank <= {P.TOP_K}""",
     "store": r"""
         SELECT CAST(doc_id AS VARCHAR) AS paper_id,
@@ -132,7 +132,7 @@ CTES = {
         FROM labels""",
     "authored": r"""
         SELECT id, pos, name FROM (
-          SELECT id, pos - 1 AS pos, names[pos] AS name FROM (
+          SELECT id, CAST(pos - 1 AS INTEGER) AS pos, names[pos] AS name FROM (
             SELECT *, unnest(range(1, 4)) AS pos FROM (
               SELECT CAST(event_id AS VARCHAR) AS id,
                      ['Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0'),

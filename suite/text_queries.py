@@ -60,9 +60,9 @@ def extract(spark, sf_dir):
 @query(
     "truncate_text",
     f"""
-    SELECT doc_id, length(substr(text, 1, {FULL_TEXT_CHARS})) AS text_chars,
+    SELECT doc_id, CAST(length(substr(text, 1, {FULL_TEXT_CHARS})) AS INTEGER) AS text_chars,
            md5(substr(text, 1, {FULL_TEXT_CHARS})) AS text_md5,
-           length(substr(text, 1, {OUTLINE_CHARS})) AS outline_chars
+           CAST(length(substr(text, 1, {OUTLINE_CHARS})) AS INTEGER) AS outline_chars
     FROM documents""",
 )
 def truncate(spark, sf_dir):
@@ -78,7 +78,7 @@ def truncate(spark, sf_dir):
 @query(
     "concat_pages",
     """
-    SELECT conv_id, turn // 1024 AS part, count(*) AS n_pages,
+    SELECT conv_id, turn // 1024 AS part, CAST(count(*) AS INTEGER) AS n_pages,
            string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS text
     FROM conversations GROUP BY ALL""",
 )
@@ -119,7 +119,7 @@ def cache_status(spark, sf_dir):
     "parse_outcome",
     sql(
         """
-        SELECT p.id, length(g.html) AS text_chars,
+        SELECT p.id, CAST(length(g.html) AS INTEGER) AS text_chars,
                CASE WHEN g.html IS NULL THEN 0.0::DOUBLE END AS total_score,
                CASE WHEN g.html IS NULL THEN md5(p.summary) END AS abstract_md5,
                CASE WHEN g.html IS NULL THEN '' END AS breakthrough,
@@ -197,7 +197,7 @@ def prompt_select(spark, sf_dir):
 @query(
     "prompt_render",
     sql(
-        f"SELECT id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars FROM ("
+        f"SELECT id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_chars FROM ("
         f"SELECT id, CASE template WHEN 'insight_de' THEN {_sql_render(_TEMPLATES['insight_de'])} "
         f"ELSE {_sql_render(_TEMPLATES['insight_en'])} END AS prompt FROM ({_NAMED}))",
         "labelled",
@@ -221,7 +221,7 @@ def prompt_render(spark, sf_dir):
 @query(
     "parse_keyword_list",
     sql(
-        f"SELECT id, len(items) AS n_items, array_to_string(items, '|') AS items FROM ("
+        f"SELECT id, CAST(len(items) AS INTEGER) AS n_items, array_to_string(items, '|') AS items FROM ("
         f"SELECT id, list_filter(list_transform(string_split(summary, ','), lambda s: {strip('s')}), "
         f"lambda s: s <> '') AS items FROM papers)",
         "papers",
