@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,13 +126,18 @@ def analyse(
     )
     readable = work.where(F.col("error").isNull())
     records = store.select("paper_id", *EVALUATION_FIELDS)
-    for task, run in _TASKS.items():
-        if task not in models:
-            continue
-        fresh = run(readable, records, models[task], cfg, f"{folder}/{task}")
-        # Written, so that the next task reads a table and not a growing plan.
-        path = f"{folder}/records-after-{task}"
-        upsert(records, fresh, EVALUATION_FIELDS).write.parquet(path)
+    fresh = [
+        run(readable, records, models[task], cfg, f"{folder}/{task}")
+        for task, run in _TASKS.items()
+        if task in models
+    ]
+    if fresh:
+        # Tasks set different fields, so a paper's rows merge without a conflict and
+        # the store is rewritten once.
+        rows = reduce(DataFrame.unionByName, fresh).groupBy("paper_id")
+        patch = rows.agg(*[F.max(f).alias(f) for f in EVALUATION_FIELDS])
+        path = f"{folder}/records"
+        upsert(records, patch, EVALUATION_FIELDS).write.parquet(path)
         records = spark.read.parquet(path)
 
     known = records.select("paper_id", *[F.col(c).alias(f"k_{c}") for c in EVALUATION_FIELDS])
