@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.llm.embedding_lsh import link_vectors
 from folioscope.llm.host_rules import judge
+from folioscope.llm.minhash_join import near_duplicates
 from folioscope.llm.mixing import mix_counts
 from folioscope.llm.sharding import assign_shards
 
@@ -17,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_table(spark, sf_dir, "documents"))
 
@@ -25,13 +31,19 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_mixing": op3_mixing,
     "op4_host_rules": op4_host_rules,
+    "op5_vectors": op5_vectors,
     "op6_sharding": op6_sharding,
 }
 ORACLE: dict[str, str] = {}
