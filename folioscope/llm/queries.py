@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.cluster import new_run_dir
 
 from folioscope.llm.embedding_lsh import link_vectors
 from folioscope.llm.host_rules import judge
 from folioscope.llm.minhash_join import near_duplicates
 from folioscope.llm.mixing import mix_counts
+from folioscope.llm.sentencepiece_dropout import decode, encode
 from folioscope.llm.sharding import assign_shards
+from folioscope.llm.token_counts import RankTokenizer, count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +25,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every text with merge-dropout, and whether they decode to the text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode(encode(docs, model, dropout=0.1, seed=17), model)
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return decoded.select(
+        "doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), same.alias("lossless")
+    )
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -39,11 +56,22 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the byte-level vocabulary, through a cache that starts empty."""
+    tokenizer = RankTokenizer(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    cache = new_run_dir(spark, "token-counts")
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer, cache)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_mixing": op3_mixing,
     "op4_host_rules": op4_host_rules,
     "op5_vectors": op5_vectors,
     "op6_sharding": op6_sharding,
+    "op7_token_counts": op7_token_counts,
 }
 ORACLE: dict[str, str] = {}
