@@ -12,8 +12,10 @@ from folioscope.cluster import new_run_dir
 
 from folioscope.llm.embedding_lsh import link_vectors
 from folioscope.llm.host_rules import judge
+from folioscope.llm.interpolation import score_texts
 from folioscope.llm.minhash_join import near_duplicates
 from folioscope.llm.mixing import mix_counts
+from folioscope.llm.nearest_vote import learn, remainder, score
 from folioscope.llm.sentencepiece_dropout import decode, encode
 from folioscope.llm.sharding import assign_shards
 from folioscope.llm.token_counts import RankTokenizer, count_tokens
@@ -65,6 +67,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer, cache)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = learn(docs, _table(spark, sf_dir, "labels"))
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_near_duplicates": op2_near_duplicates,
@@ -73,5 +91,7 @@ QUERIES: dict[str, Query] = {
     "op5_vectors": op5_vectors,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
+    "op10_interpolation": op10_interpolation,
 }
 ORACLE: dict[str, str] = {}

@@ -7,9 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text worked on at once; one longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+#: Bytes that Spark hands to Python at once.
+_BATCH_BYTES = 4 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = np.zeros(256, dtype=bool)
@@ -18,6 +21,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session hands Python at most 4 MB at once from here on.
+
+    Rows hold whole texts; Spark's own bound of 64 MB, held by the JVM and by Python, is
+    much for an executor of a few GB. A smaller setting of the session is kept.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) <= 0 or int(now) > _BATCH_BYTES:
+        conf.set(key, f"{_BATCH_BYTES}b")
+    return df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
