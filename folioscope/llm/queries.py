@@ -16,6 +16,7 @@ from folioscope.llm.interpolation import score_texts
 from folioscope.llm.minhash_join import near_duplicates
 from folioscope.llm.mixing import mix_counts
 from folioscope.llm.nearest_vote import learn, remainder, score
+from folioscope.llm.pii_tagger import KINDS, count_kind, find_spans, learn_tagger
 from folioscope.llm.sentencepiece_dropout import decode, encode
 from folioscope.llm.sharding import assign_shards
 from folioscope.llm.token_counts import RankTokenizer, count_tokens
@@ -79,6 +80,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_spans(docs, learn_tagger(docs))
+    return found.select(
+        "doc_id",
+        *(count_kind("base_spans", k).alias(f"n_{k}") for k in KINDS),
+        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
@@ -92,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
+    "op9_pii": op9_pii,
     "op10_interpolation": op10_interpolation,
 }
 ORACLE: dict[str, str] = {}
