@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.cluster import settle
-from folioscope.llm.ordering import SPACE, WORD, running_total
+from folioscope.llm.ordering import WORD, running_total
 
 #: Words of a block.
 BLOCK = 256
@@ -68,6 +68,7 @@ def plan_mix(
     most: int = 2,
     block: int = BLOCK,
     shards: int = 64,
+    once: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their place in the source's stream, source targets, and slots.
 
@@ -77,7 +78,8 @@ def plan_mix(
     fill passes over its stream; a slot's index goes through a permutation of the
     source's full blocks, the short last block comes last, and the last slot is cut so
     that the words taken are the rounded target. Each slot draws its output shard, so
-    the source counts of a shard are multinomial given the sources' totals.
+    the source counts of a shard are multinomial given the sources' totals. With `once`,
+    rows that agree in id and text are one document.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(
@@ -85,7 +87,12 @@ def plan_mix(
         "source",
         F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"))).cast("long").alias("size"),
         F.xxhash64(F.lit(_SEED), "doc_id", text).alias("mixed"),
+        F.xxhash64(text).alias("text_key"),
     )
+    if once:
+        sized = sized.groupBy("doc_id", "text_key").agg(
+            *(F.min(c).alias(c) for c in ("source", "size", "mixed"))
+        )
     order = [F.asc_nulls_last("source"), F.col("mixed"), F.col("doc_id")]
     placed = settle(running_total(sized, order, "before", F.col("size")))
     named = placed.groupBy("source").agg(
@@ -145,6 +152,7 @@ def _pieces(streamed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     """The stretches of documents that slots take: word numbers `start` to `end` - 1."""
     opened = streamed.where("size > 0").select(
         "doc_id",
+        "text_key",
         "before",
         "source_rank",
         "at",
@@ -160,7 +168,7 @@ def _pieces(streamed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     start = F.greatest(head, F.col("at")) - F.col("at")
     end = F.least(head + F.col("words"), F.col("at") + F.col("size")) - F.col("at")
     return joined.select(
-        "doc_id", "before", "pass_no", "shard", start.alias("start"), end.alias("end")
+        "doc_id", "text_key", "before", "pass_no", "shard", start.alias("start"), end.alias("end")
     ).where("end > start")
 
 
@@ -195,25 +203,37 @@ def mix_texts(docs: DataFrame, block: int = BLOCK, **plan: object) -> DataFrame:
     """The mix itself: a row of `docs` for each pass that takes words of it.
 
     A document taken whole keeps its text; of one taken in part, the words taken are
-    joined by single spaces. `n_chars`, if there, is that of the new text. `doc_id` must
-    be unique; rows with a null one are told apart by nothing and are left out.
+    joined by single spaces. `n_chars`, if there, is that of the new text. Rows that
+    agree in id and text are one document here, and each of them gets its words. A text
+    without words is in no mix. Columns stay those of `docs`.
     """
-    streamed, _, slots = plan_mix(docs, block=block, **plan)
-    pieces = _pieces(streamed, slots, block).groupBy("doc_id", "pass_no").agg(
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumn("_text_key", F.xxhash64(text))
+    # Ids and sizes alone decide; texts meet the plan at the end, in one join.
+    streamed, _, slots = plan_mix(docs, block=block, once=True, **plan)
+    pieces = _pieces(streamed, slots, block).groupBy("before", "pass_no").agg(
+        F.first("doc_id").alias("_id"),
+        F.first("text_key").alias("_key"),
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_pieces"),
         F.sum(F.col("end") - F.col("start")).alias("_taken"),
     )
-    words = F.split(F.regexp_replace("text", f"^{SPACE}+|{SPACE}+$", ""), f"{SPACE}+")
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     cut = F.flatten(
         F.transform(
             "_pieces",
-            lambda p: F.slice(F.col("_words"), (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")),
+            lambda p: F.slice(
+                F.col("_words"), (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")
+            ),
         )
     )
-    whole = F.col("_taken") == F.size("_words")
-    mixed = docs.join(pieces, "doc_id").withColumn("_words", words)
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(cut, " "))
-    out = mixed.withColumn("text", text)
+    mixed = keyed.join(
+        pieces,
+        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")),
+    ).withColumn("_words", words)
+    new = F.when(F.col("_taken") == F.size("_words"), F.col("text")).otherwise(
+        F.array_join(cut, " ")
+    )
+    out = mixed.withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
