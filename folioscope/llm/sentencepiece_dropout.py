@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.text_arrays import mix64, slices, string_bytes
+from folioscope.llm.text_arrays import in_small_batches, mix64, slices, string_bytes
 
 #: What SentencePiece writes for a space.
 MARK = "▁"
@@ -330,7 +330,7 @@ def encode(
     if not 0 <= dropout < 1:
         raise ValueError("dropout must be in [0, 1)")
     limit = int(dropout * 2**64)
-    keyed = docs.drop("pieces").withColumn("_key", F.xxhash64(F.lit(seed), "doc_id"))
+    keyed = in_small_batches(docs).drop("pieces").withColumn("_key", F.xxhash64(F.lit(seed), "doc_id"))
     schema = f"{_ddl(docs.drop('pieces'))}, pieces array<int>"
     return keyed.mapInArrow(lambda it: _encode(it, model_file, limit), schema)
 
@@ -338,7 +338,7 @@ def encode(
 def decode(encoded: DataFrame, model_file: str, column: str = "decoded") -> DataFrame:
     """`encoded` with the text of `pieces` in `column`; no pieces give an empty text."""
     schema = f"{_ddl(encoded)}, {column} string"
-    return encoded.mapInArrow(lambda it: _decode(it, model_file, column), schema)
+    return in_small_batches(encoded).mapInArrow(lambda it: _decode(it, model_file, column), schema)
 
 
 def _ddl(df: DataFrame) -> str:

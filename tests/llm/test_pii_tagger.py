@@ -1,0 +1,155 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+
+from folioscope.llm import pii_tagger as pt
+
+from . import brute
+
+CARD = "4111 1111 1111 1111"
+TEXTS = [
+    "write to ann.b+c@mail-1.example.org, or 192.168.0.1 and 300.1.1.1",
+    f"card {CARD} and 4111111111111112; call +1 (555) 010-9999 now",
+    "", None, "nothing here", "v4.0. and 1.2.3 and a@b", "1.2.3.4.5 x@y.z@w.v",
+    "😀 é +49 30 1234567 é " + "x" * 200 + " 10.0.0.1",
+    "0000.1.1.255", "+1", "12" * 40, "a1@b.c" + " word" * 30_000 + " 8.8.8.8",
+]
+
+
+def slow_base(text):
+    text = text or ""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        check = sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d[::-1]))
+        if 12 <= len(d) <= 19 and check % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return [(a, b, pt.KINDS[k]) for a, k, b in sorted(out)]
+
+
+@pytest.fixture(scope="module")
+def tagger(spark, sf_dir):
+    return pt.learn_tagger(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_rules():
+    for text in TEXTS:
+        assert pt.base_spans(text or "") == slow_base(text)
+    assert pt.joined(pt.base_spans(TEXTS[0])) == "email:9:35,ip:40:51"
+
+
+def test_gradients():
+    model = pt.Tagger.fresh(1)
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    r = np.random.default_rng(0)
+    codes = r.integers(1, 128, (3, pt.WINDOW)).astype(np.int16)
+    tags = r.integers(0, pt.TAGS, codes.shape).astype(np.int8)
+    codes[1, 40:] = 0
+    tags[1, 40:] = 0
+    _, grad = model.learn(codes, tags)
+    for name, value in model.w.items():
+        at = tuple(r.integers(0, s) for s in value.shape)
+        at = (int(codes[0, 3]), 2) if name == "embed" else at
+        old, step = value[at], 1e-3
+        value[at] = old + step
+        up, _ = model.learn(codes, tags)
+        value[at] = old - step
+        down, _ = model.learn(codes, tags)
+        value[at] = old
+        assert grad[name][at] == pytest.approx((up - down) / (2 * step), rel=1e-2, abs=1e-5)
+
+
+def test_decode_is_the_best_path():
+    model = pt.Tagger.fresh(2)
+    model.w["step"] = np.random.default_rng(1).standard_normal((pt.TAGS, pt.TAGS)).astype(np.float32)
+    codes = np.zeros((1, pt.WINDOW), dtype=np.int16)
+    codes[0, :4] = [50, 64, 97, 48]
+    got = model.decode(codes)[0][:4]
+    e = model.emissions(codes)[:, 0]
+    step = model.w["step"] + pt._ALLOWED
+    paths = np.stack(np.meshgrid(*[range(pt.TAGS)] * 4, indexing="ij"), -1).reshape(-1, 4)
+    value = pt._FIRST[paths[:, 0]] + sum(e[t, paths[:, t]] for t in range(4))
+    value = value + sum(step[paths[:, t], paths[:, t + 1]] for t in range(3))
+    assert got.tolist() == paths[value.argmax()].tolist()
+
+
+def test_windows_hold_every_digit_and_at_sign():
+    for text in TEXTS:
+        text = text or ""
+        spots = pt.windows(text)
+        assert all(0 < b - a <= pt.WINDOW for a, b in spots)
+        for m in re.finditer("[0-9@]", text):
+            whole = [max(0, m.start() - 24), min(len(text), m.start() + 24)]
+            assert any(a <= whole[0] and whole[1] <= b for a, b in spots)
+
+
+def test_reconcile_prefers_the_span_with_more_around_it():
+    text = "a" * 60 + " " + CARD.replace(" ", "") + " " + "b" * 60
+    spots = [(0, 70), (40, 136)]
+    cut, whole = (61, 70, "card"), (61, 77, "card")
+    assert pt.reconcile(text, spots, [[cut], [whole]]) == [whole]
+
+
+def test_plausible():
+    text = "x 4111111111111111 y4111111111111111 4111111111111112"
+    assert pt.plausible(text, 1, 19, "card") == (2, 18)
+    assert pt.plausible(text, 20, 36, "card") is None
+    assert pt.plausible(text, 37, 53, "card") is None
+    assert pt.plausible(text, 0, 1, "phone") is None
+
+
+def test_tagger_agrees_with_the_rules_on_texts_it_has_not_seen(spark, tagger, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    truth = [set(slow_base(t)) for t in texts]
+    found = [set(f) for f in pt.added_spans(tagger, texts, [[] for _ in texts])]
+    right = sum(len(t & f) for t, f in zip(truth, found, strict=True))
+    assert right / sum(map(len, truth)) > 0.9
+    assert right / sum(map(len, found)) > 0.9
+
+
+def test_find_adds_what_a_greedy_match_swallowed(spark, tagger):
+    # The rule's match runs over both numbers and fails; the tagger sees where one ends.
+    text = "Onand that inesou 4952935900253052 7713 ththinnt and"
+    rows = pt.find_spans(brute.docs_of(spark, [*TEXTS, text]), tagger).collect()
+    for r in rows:
+        base = slow_base(r.text)
+        assert r.base_spans == pt.joined(base)
+        spans = r.spans.split(",") if r.spans else []
+        assert set(pt.joined(base).split(",")) - {""} <= set(spans)
+        starts = [int(s.split(":")[1]) for s in spans]
+        assert starts == sorted(starts)
+    assert len(rows) == len(TEXTS) + 1
+
+
+def test_clean_texts_stay_clean(spark, tagger, sf_dir):
+    hexes = [f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and v{i}.0.' for i in range(40)]
+    rows = pt.find_spans(brute.docs_of(spark, [*hexes, "no digits at all", None, ""]), tagger)
+    assert {r.spans for r in rows.collect()} == {pt.joined(s) for s in map(slow_base, hexes)} | {""}
+
+
+def test_redact(spark, tagger):
+    docs = brute.docs_of(spark, ["mail ann@b.org!", "plain", None, "a 10.0.0.1 b 10.0.0.2"])
+    rows = {r.doc_id: r for r in pt.redact(pt.find_spans(docs, tagger)).collect()}
+    assert [rows[i].text for i in range(4)] == ["mail [email]!", "plain", None, "a [ip] b [ip]"]
+    assert [rows[i].n_chars for i in range(4)] == [13, 5, None, 13]
+    assert rows[0].size == "extra"
+
+
+def test_counts_and_no_rows(spark, tagger):
+    df = spark.createDataFrame([("email:1:2,card:3:4,email:5:6",), ("",)], "spans string")
+    got = df.select(*(pt.count_kind("spans", k).alias(k) for k in pt.KINDS)).collect()
+    assert [tuple(r) for r in got] == [(2, 0, 1, 0), (0, 0, 0, 0)]
+    assert pt.find_spans(brute.docs_of(spark, []), tagger).collect() == []
+    assert pt.train([]).w["out"].shape == (2 * pt.HIDDEN, pt.TAGS)

@@ -1,0 +1,119 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+
+from folioscope.llm import sentencepiece_dropout as sp
+
+from . import brute
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+TEXTS = [
+    "The quick brown fox", "", None, " ", "  a  b\t\nc ", "①ﬁ é<s></s>é😀", "x" * 3_000,
+    " " * 700 + "y", "the " * 2_000, "a▁b ▁", "\u0000\u000b", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa!",
+    "supercalifragilistic-" * 10,
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+def pieces(texts, dropout=0.0, keys=None):
+    v = sp.load(MODEL)
+    keys = np.arange(len(texts), dtype=np.uint64) if keys is None else keys
+    ids, begin = sp.encode_texts(v, pa.array(texts, pa.string()), keys, int(dropout * 2**64))
+    return [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+
+def test_without_dropout_it_is_the_library(library):
+    got = pieces(TEXTS)
+    for text, ids in zip(TEXTS, got, strict=True):
+        if text is not None and "▁" not in text:
+            assert ids == library.encode(text)
+
+
+def agenda(v, symbols, key, limit):
+    """The agenda one candidate at a time, skipping when a candidate's turn comes."""
+    symbols = [(s, i, i + 1) for i, s in enumerate(symbols)]
+    skipped = set()
+    while True:
+        best = None
+        for k in range(len(symbols) - 1):
+            (a, i, j), (b, _, end) = symbols[k], symbols[k + 1]
+            made = v.pairs.get((a, b))
+            if made is not None and (i, j, end) not in skipped:
+                best = min(best or (10**9,), (int(v.priority[made]), k, made))
+        if best is None:
+            return [s for s, _, _ in symbols]
+        _, k, made = best
+        span = (symbols[k][1], symbols[k][2], symbols[k + 1][2])
+        spot = [np.array([x]) for x in span]
+        if sp._skipped(np.array([key], dtype=np.uint64), *spot, limit)[0]:
+            skipped.add(span)
+        else:
+            symbols[k : k + 2] = [(made, span[0], span[2])]
+
+
+def test_words_follow_the_agenda():
+    v = sp.load(MODEL)
+    r = random.Random(1)
+    words = ["".join(r.choice("theiranotsg") for _ in range(r.randint(1, 14))) for _ in range(300)]
+    words.append("".join(r.choice("eta") for _ in range(90)))  # the heap's way
+    symbols = [v.char_id[ord(c)] for w in words for c in w]
+    starts = np.cumsum([0, *(len(w) for w in words)])[:-1]
+    keys = np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for dropout in (0.0, 0.3, 0.9):
+        limit = int(dropout * 2**64)
+        out = sp._merge(v, np.array(symbols), starts, keys, limit)
+        ends = [*starts[1:], len(symbols)]
+        for w, (a, b) in enumerate(zip(starts, ends, strict=True)):
+            expected = agenda(v, symbols[a:b], int(keys[w]), limit)
+            assert [x for x in out[a:b].tolist() if x >= 0] == expected
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6])
+def test_round_trip(spark, library, dropout):
+    docs = brute.docs_of(spark, TEXTS)
+    encoded = sp.encode(docs, MODEL, dropout=dropout, seed=3)
+    rows = sp.decode(encoded, MODEL).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        text = TEXTS[r.doc_id] or ""
+        assert r.decoded == text and r.text == TEXTS[r.doc_id]
+        assert library.decode(list(r.pieces)) == text
+
+
+def test_seed_and_id_decide(spark):
+    texts = ["internationalization of representations"] * 6
+    docs = brute.docs_of(spark, texts)
+    one = {r.doc_id: r.pieces for r in sp.encode(docs, MODEL, 0.4, seed=1).collect()}
+    same = {r.doc_id: r.pieces for r in sp.encode(docs.repartition(3), MODEL, 0.4, seed=1).collect()}
+    other = {r.doc_id: r.pieces for r in sp.encode(docs, MODEL, 0.4, seed=2).collect()}
+    assert one == same and one != other
+    assert len({tuple(p) for p in one.values()}) > 1
+    repeated = brute.docs_of(spark, texts[:2], ids=[None, None])
+    assert len({tuple(r.pieces) for r in sp.encode(repeated, MODEL, 0.4).collect()}) == 1
+
+
+def test_merges_are_skipped_at_the_given_rate():
+    v = sp.load(MODEL)
+    key = np.arange(200_000, dtype=np.uint64)
+    spot = [np.full(len(key), x) for x in (1, 2, 3)]
+    assert abs(sp._skipped(key, *spot, int(0.3 * 2**64)).mean() - 0.3) < 0.01
+    counts = [len(x) for p in (0.0, 0.2, 0.5) for x in pieces(["the nation of those others"], p)]
+    assert counts == sorted(counts) and counts[0] < counts[2]
+    assert v.size == 32_000
+
+
+def test_bad_rate_and_no_rows(spark):
+    docs = brute.docs_of(spark, [])
+    with pytest.raises(ValueError, match="dropout"):
+        sp.encode(docs, MODEL, dropout=1.0)
+    assert sp.decode(sp.encode(docs, MODEL), MODEL).collect() == []
