@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.cluster import broadcast_if_small, settle
-from folioscope.llm.text_arrays import slices
+from folioscope.cluster import settle
+from folioscope.llm.text_arrays import in_small_batches, slices
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def count_tokens(
     spark = docs.sparkSession
     version = tokenizer.version()
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn(
+    keyed = in_small_batches(docs).select("doc_id", text.alias("text")).withColumn(
         "digest", F.unhex(F.sha2(F.col("text"), 256))
     )
     rows = settle(
@@ -100,9 +100,9 @@ def count_tokens(
         .join(_cached(spark, cache_path, version), "digest", "left_anti")
     )
     missing = settle(missing.select(F.col("digest").alias("wanted"), "stand"))
-    # One row's text for each missing digest; with many of them the texts are shuffled once.
+    # One row's text for each missing digest: the one shuffle of texts.
     picked = keyed.join(
-        broadcast_if_small(missing),
+        missing,
         F.col("doc_id").eqNullSafe(F.col("stand")) & (F.col("digest") == F.col("wanted")),
         "left_semi",
     )
@@ -110,6 +110,7 @@ def count_tokens(
         lambda it: _count(it, tokenizer), "digest binary, n_tokens long"
     )
     counted.withColumn("version", F.lit(version)).write.mode("append").parquet(cache_path)
-    return rows.join(_cached(spark, cache_path, version), "digest").select(
+    # Written out, so that a digest with very many rows is split in the join.
+    return rows.join(settle(_cached(spark, cache_path, version)), "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
