@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.cluster import settle
 from folioscope.llm.components import connected_components
+from folioscope.llm.text_arrays import in_small_batches
 
 #: Vectors of a block; a bucket with more is compared block by block.
 BLOCK = 2_048
@@ -166,7 +167,7 @@ def link_vectors(
         )
         & (top > 0)
     )
-    base = vectors.select("vec_id", "label", "embedding")
+    base = in_small_batches(vectors).select("vec_id", "label", "embedding")
     good = base.where(F.coalesce(clean, F.lit(False))).select(
         "vec_id", "label", F.transform(raw, lambda x: x / top).alias("scaled")
     )
