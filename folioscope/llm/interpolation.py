@@ -27,7 +27,7 @@ from folioscope.llm.text_arrays import in_small_batches, mix64, slices, words_of
 
 #: UTF-8 bytes of text in a batch, on average, and batches for each range of keys.
 BATCH_BYTES = 8_000_000
-BATCHES_PER_RANGE = 4
+BATCHES_PER_RANGE = 2
 
 _U = np.uint64
 _END = mix64(np.array([0xE0D], dtype=np.uint64))
@@ -167,6 +167,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [_unpack(x) for x in table[field].to_pylist()]
             cuts = np.cumsum([len(k) for k in keys])[:-1]
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
             sums = []
             for name in (kept, deleted):
                 counts = np.concatenate(_numbers(table[name]))

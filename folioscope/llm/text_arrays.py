@@ -25,9 +25,11 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     """`df`, whose session hands Python at most 4 MB at once from here on.
 
     Rows hold whole texts; Spark's own bound of 64 MB, held by the JVM and by Python, is
-    much for an executor of a few GB. A smaller setting of the session is kept.
+    much for an executor of a few GB. A smaller setting of the session is kept. Also,
+    shuffle files go when their query has ended: what is read again is a written table.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     now = conf.get(key).rstrip("bB")
     if not now.isdigit() or int(now) <= 0 or int(now) > _BATCH_BYTES:
         conf.set(key, f"{_BATCH_BYTES}b")
