@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from folioscope.cluster import new_run_dir, shared_dir
+from folioscope.cluster import new_run_dir, remove_run_dirs, settle, shared_dir
 
 
 class Session:
@@ -15,7 +15,7 @@ def test_the_configured_folder_is_used():
     session = Session("spark://host", "hdfs://shared/x/")
     assert shared_dir(session) == "hdfs://shared/x"
     one, two = new_run_dir(session, "a"), new_run_dir(session, "a")
-    assert one.startswith("hdfs://shared/x/a-") and one != two
+    assert one.startswith("hdfs://shared/x/spark://host/a-") and one != two
 
 
 def test_a_cluster_needs_a_shared_folder():
@@ -23,6 +23,15 @@ def test_a_cluster_needs_a_shared_folder():
         shared_dir(Session("spark://host"))
 
 
-def test_a_local_session_gets_one_folder_of_its_own():
+def test_a_local_session_falls_back_to_its_warehouse():
     session = Session("local[2]")
-    assert shared_dir(session) == shared_dir(session)
+    session.conf["spark.sql.warehouse.dir"] = "/somewhere/warehouse"
+    assert shared_dir(session) == "/somewhere/warehouse/_runs"
+
+
+def test_settled_tables_go_with_the_application(spark):
+    path = new_run_dir(spark, "kept")
+    assert settle(spark.range(3), path).count() == 3
+    remove_run_dirs(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
