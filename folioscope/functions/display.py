@@ -20,12 +20,32 @@ def pdf_link(id_: Column) -> Column:
     return F.concat(F.lit(V.PDF_PAGE), id_)
 
 
+def utc_text(published: Column) -> Column:
+    """`yyyy-MM-dd HH:mm:ss` in UTC, fractions after it, whatever the session's zone.
+
+    A TIMESTAMP is an instant; a TIMESTAMP_NTZ is taken as UTC already.
+    """
+    wall = published.cast("timestamp_ntz")
+    moved = F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall)
+    plain = F.typeof(published) == "timestamp_ntz"  # known when the plan is made
+    return F.when(plain, wall).otherwise(moved).cast("string")
+
+
+def utc_micros(published: Column) -> Column:
+    """Microseconds since 1970 in UTC, read the same way."""
+    instant = F.concat(published.cast("timestamp_ntz").cast("string"), F.lit("+00:00"))
+    plain = F.typeof(published) == "timestamp_ntz"
+    time = F.when(plain, instant.cast("timestamp")).otherwise(published.cast("timestamp"))
+    return F.unix_micros(time)
+
+
 def iso_text(published: Column) -> Column:
-    return F.date_format(published, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    seconds = F.substring(utc_text(published), 1, 19)
+    return F.concat(F.replace(seconds, F.lit(" "), F.lit("T")), F.lit("+00:00"))
 
 
 def day_text(published: Column) -> Column:
-    return F.date_format(published, "yyyy-MM-dd")
+    return F.substring(utc_text(published), 1, 10)
 
 
 def language_label(language: Column) -> Column:

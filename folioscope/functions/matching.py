@@ -12,19 +12,16 @@ from pyspark.sql import functions as F
 from folioscope.fixed_values import SURVEY_WORDS
 from folioscope.functions.binding import holds
 
-# Up to here words become an OR of `contains`; beyond, one test over a literal array.
-_UNROLL = 64
-
-
 def haystack(title: str = "title", summary: str = "summary") -> Column:
     return F.lower(F.concat_ws(" ", F.col(title), F.col(summary)))
 
 
 def _any_word(text: Column, words: Sequence[str]) -> Column:
-    lowered = [w.lower() for w in words]
-    if len(lowered) <= _UNROLL:
-        return reduce(or_, [text.contains(w) for w in lowered], F.lit(False))
-    return F.exists(F.array(*map(F.lit, lowered)), lambda w: F.contains(text, w))
+    tests = [text.contains(w.lower()) for w in words] or [F.lit(False)]
+    while len(tests) > 1:  # in pairs, so that long lists make no deep tree
+        pairs = [tests[i : i + 2] for i in range(0, len(tests), 2)]
+        tests = [reduce(or_, pair) for pair in pairs]
+    return tests[0]
 
 
 def _wanted(text: Column, keywords: Sequence[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,23 +14,12 @@ SPACES = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The character references decoded after tags are gone. "&" goes last.
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-)
-
 HIDDEN_MARKUP = (
     r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
 )
 TAG = r"(?s)<[^>]*>"
-ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article\s*>"
+_ARTICLE_TAG = r"(?i)(?=</?article\b)"
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def strip(text: Column) -> Column:
@@ -41,17 +32,71 @@ def head_chars(text: Column, limit: int | None) -> Column:
     return text if limit is None else F.substring(text, 1, limit)
 
 
+def _character(reference: Column) -> Column:
+    """What a reference without its "&" and ";" stands for, null if nothing."""
+    number = F.when(
+        reference.rlike("^#[xX]"), F.conv(F.substring(reference, 3, 8), 16, 10).cast("int")
+    ).when(reference.startswith("#"), F.substring(reference, 2, 8).cast("int"))
+    usable = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    numbered = F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")
+    pairs = [F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))]
+    apostrophe = F.when(reference == "apos", "'")
+    return F.when(usable, numbered).otherwise(
+        F.coalesce(apostrophe, F.element_at(F.create_map(*pairs), reference))
+    )
+
+
+def decode_references(text: Column) -> Column:
+    """Character references as characters, in one pass: "&amp;lt;" becomes "&lt;".
+
+    Decimal, hexadecimal and the named ones of HTML 4; others stay as they are.
+    """
+
+    def decoded(piece: Column, place: Column) -> Column:
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        character = F.when(name != "", _character(name))
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        return (
+            F.when(place == 0, piece)
+            .when(character.isNull(), F.concat(F.lit("&"), piece))
+            .otherwise(F.concat(character, rest))
+        )
+
+    pieces = F.transform(F.split(text, "&"), decoded)
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+
+def _visible(html: Column) -> Column:
+    return F.regexp_replace(html, HIDDEN_MARKUP, " ")
+
+
 def markup_to_text(html: Column) -> Column:
-    visible = F.regexp_replace(html, HIDDEN_MARKUP, " ")
-    plain = F.regexp_replace(visible, TAG, " ")
-    for reference, character in ENTITIES:
-        plain = F.replace(plain, F.lit(reference), F.lit(character))
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    plain = decode_references(F.regexp_replace(_visible(html), TAG, " "))
+    return F.trim(F.regexp_replace(plain, r"[\s\x{A0}]+", " "))
 
 
 def article_of(html: Column) -> Column:
-    """Inner markup of the article element, empty when there is none."""
-    return F.regexp_extract(html, ARTICLE, 1)
+    """Markup inside all article elements, nested ones once; empty when there is none.
+
+    The page is cut before every article tag. A piece is inside while more articles
+    were opened than closed; an article that is never closed runs to the end.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, piece: Column) -> Column:
+        change = (
+            F.when(piece.rlike(r"^(?i)</article\b"), -1)
+            .when(piece.rlike(r"^(?i)<article\b"), 1)
+            .otherwise(0)
+        )
+        depth = F.greatest(state["depth"] + change, F.lit(0))
+        kept = F.when(depth > 0, F.concat(state["kept"], F.array(piece))).otherwise(
+            state["kept"]
+        )
+        return F.struct(depth.alias("depth"), kept.alias("kept"))
+
+    pieces = F.split(_visible(html), _ARTICLE_TAG)
+    return F.aggregate(pieces, start, step, lambda s: F.array_join(s["kept"], " "))
 
 
 def split_list(text: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.display import utc_micros
+
 
 def lookup(papers: DataFrame, store: DataFrame, key: str = "paper_id") -> DataFrame:
     """Each paper with its stored record, nulls when there is none."""
@@ -14,7 +16,8 @@ def lookup(papers: DataFrame, store: DataFrame, key: str = "paper_id") -> DataFr
 
 
 def _done(store: DataFrame, field: str, key: str) -> DataFrame:
-    return store.where(F.col(field).isNotNull()).select(key).distinct()
+    # One row per paper, and a semi join needs no more than that.
+    return store.where(F.col(field).isNotNull()).select(key)
 
 
 def hits(
@@ -36,7 +39,7 @@ def sequence_of(ts: Column, tie: Column) -> Column:
     A decimal fits the fixed-width hash aggregation buffer; a struct would force a
     sort of all rows.
     """
-    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)")
+    micros = utc_micros(ts).cast("decimal(18,0)")
     return micros * F.expr("10000000000000000000BD") + tie.cast("decimal(19,0)")
 
 

@@ -43,7 +43,11 @@ def within_days(
     """
     since = as_of - timedelta(days=days)
     kind = papers.schema["published"].dataType.simpleString()
-    bound = F.lit(since.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(kind)
+    if kind == "timestamp":  # an instant, whatever the session's zone
+        micros = (since - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+        bound = F.timestamp_micros(F.lit(micros))
+    else:
+        bound = F.lit(since.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(kind)
     if date_partition:
         papers = papers.where(F.col(date_partition) >= F.lit(since.date()))
     return papers.where(F.col("published") >= bound)
@@ -55,11 +59,11 @@ def search(
     categories: Sequence[str],
     as_of: datetime,
     days: int,
-    limit: int | None = NEWEST_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Catalogue search as users know it: match, newest `limit`, then the time window.
+    """Catalogue search: match, the newest `limit` if one is given, then the time window.
 
-    `limit=None` drops the cut, which then frees the window to prune the scan.
+    Without a limit nothing is cut, and the window can prune the scan.
     """
     found = match_catalogue(papers, keywords, categories)
     if limit is not None:

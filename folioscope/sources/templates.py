@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.prompts import TEMPLATES
 
-_MOST_TEMPLATES = 1_000
-
-
-def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
-    """Built-in templates, overridden by `<name>.txt` files in a folder.
+def read_templates(
+    spark: SparkSession, path: str, names: Sequence[str] | None = None
+) -> dict[str, str]:
+    """Built-in templates, overridden by the `<name>.txt` files of a folder.
 
-    A plan is built from the templates, so they come to the driver; a folder with
-    more than a thousand is an error, not a template folder.
+    A plan is built from the templates, so they come to the driver; name the ones
+    wanted if the folder holds others.
     """
     files = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("name"),
         F.col("value").alias("body"),
     )
-    rows = files.where("name != ''").limit(_MOST_TEMPLATES + 1).collect()
-    if len(rows) > _MOST_TEMPLATES:
-        raise ValueError(f"more than {_MOST_TEMPLATES} templates in {path}")
+    wanted = F.col("name") != "" if names is None else F.col("name").isin(*names)
+    rows = files.where(wanted).collect()
     return {**TEMPLATES, **{row["name"]: row["body"] for row in rows}}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.fixed_values import SURVEY_WORDS
@@ -15,7 +16,7 @@ from folioscope.functions.prompts import (
     template_body,
     template_name,
 )
-from folioscope.functions.text import head_chars, markup_to_text, split_list, strip
+from folioscope.functions.text import article_of, head_chars, markup_to_text, split_list, strip
 from folioscope.sources.papers import newest, search, within_days
 from folioscope.sources.templates import read_templates
 
@@ -169,6 +170,34 @@ def test_templates_by_language(spark, tmp_path):
     assert named.select(template_body(F.col("n"), templates)).first()[0] == "Hallo {abstract}"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a &mdash; b&eacute;&#8217;&#x2019;&#X41;", "a — bé’’A"),
+        ("&amp;lt; &amp;amp; &lt;b&gt;", "&lt; &amp; <b>"),
+        ("&unknown; & &; &# &#0; &#x110000; &#55296; AT&T", "&unknown; & &; &# &#0; &#x110000; &#55296; AT&T"),
+        ("&apos;&quot;&copy;2024", "'\"©2024"),
+        ("<p>&#128512;</p>", "😀"),
+    ],
+)
+def test_character_references(spark, html, text):
+    assert one(spark, markup_to_text(F.col("t")), t=html) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("x<article>one</article>y<article class='b'>two</article>z", "one two"),
+        ("<article>a<article>b</article>c</article>d", "a b c"),
+        ("<ARTICLE>never closed <b>here</b>", "never closed here"),
+        ("</article>before<articles>not one</articles>", ""),
+        ("<!-- <article>no</article> --><article>yes</article >", "yes"),
+    ],
+)
+def test_all_articles_are_read(spark, html, text):
+    assert one(spark, markup_to_text(article_of(F.col("t"))), t=html) == text
+
+
 def test_random_words_against_brute_force(spark):
     rng = random.Random(7)
     alphabet = "abÀß "
