@@ -11,18 +11,25 @@ def progress(analysed: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(analysed / total, F.lit(1.0)))
 
 
-def run_counts(papers: DataFrame, relevant: Column, analysed: Column) -> DataFrame:
-    """One row: fetched, total after the filter, analysed, progress.
+def run_counts(
+    papers: DataFrame, relevant: Column, analysed: Column, top_k: int | None = None
+) -> DataFrame:
+    """One row: fetched, total after the filter, analysed, exported, progress.
 
-    A single pass of partial counts; an empty input gives zeros.
+    The export holds the `top_k` best of the analysed papers, or all of them. A single
+    pass of partial counts; an empty input gives zeros.
     """
-    total = F.count_if(relevant)
-    done = F.count_if(relevant & analysed)
-    return papers.agg(
+    flagged = papers.select(relevant.alias("_r"), analysed.alias("_a"))
+    counts = flagged.agg(
         F.count(F.lit(1)).alias("fetched"),
-        total.alias("total"),
-        done.alias("analysed"),
-    ).withColumn("progress", progress(F.col("analysed"), F.col("total")))
+        F.count_if("_r").alias("total"),
+        F.count_if(F.col("_r") & F.col("_a")).alias("analysed"),
+    )
+    done = F.col("analysed")
+    exported = done if top_k is None else F.least(done, F.lit(top_k).cast("long"))
+    return counts.withColumn("exported", exported).withColumn(
+        "progress", progress(done, F.col("total"))
+    )
 
 
 def split_failed(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,16 +16,19 @@ def extract_text(
     pages: DataFrame,
     html: str = "html",
     structured: bool = True,
-    min_chars: int = 1,
+    failed: Column | None = None,
     max_chars: int | None = None,
 ) -> DataFrame:
     """Add `full_text`, `parser`, `error`: article text first, whole page as fallback.
 
-    The structured tier fails when it finds fewer than `min_chars` characters.
+    The structured tier fails where there is no article, its text is empty, or `failed`
+    holds (for extractors that report a failure of their own).
     """
     article = markup_to_text(article_of(F.col(html))) if structured else F.lit(None)
+    if failed is not None:
+        article = F.when(~F.coalesce(failed, F.lit(False)), article)
     tiers = pages.withColumn("_article", article.cast("string"))
-    good = F.coalesce(F.length("_article") >= F.lit(min_chars), F.lit(False))
+    good = F.coalesce(F.col("_article") != "", F.lit(False))
     tiers = tiers.withColumn(
         "_text",
         F.when(good, F.col("_article")).otherwise(markup_to_text(F.col(html))),
@@ -45,17 +48,18 @@ def page_parts(
     page_no: str,
     text: str,
     pages_per_part: int = _PAGES_PER_PART,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Pages in order joined by line breaks, an empty page counting as "".
 
-    One row per document and run of `pages_per_part` page numbers: ordinary documents
-    are one part, and a document of any length never gathers in one task.
+    One row per document and run of `pages_per_part` page numbers, which only places the
+    work: ordinary documents are one part, and one of any number of pages never gathers
+    in one task. With `max_chars` pages are shortened to it first.
     Columns: doc, `part`, `n_pages`, `text`.
     """
     part = F.floor(F.col(page_no) / pages_per_part).cast("long")
-    entry = F.struct(
-        F.col(page_no).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
+    words = head_chars(F.coalesce(F.col(text), F.lit("")), max_chars)
+    entry = F.struct(F.col(page_no).alias("page"), words.alias("text"))
     gathered = pages.groupBy(doc, part.alias("part")).agg(
         F.sort_array(F.collect_list(entry)).alias("entries")
     )
@@ -70,7 +74,7 @@ def page_parts(
 def full_text_of_parts(
     parts: DataFrame, doc: str, max_chars: int = FULL_TEXT_CHARS
 ) -> DataFrame:
-    """The first `max_chars` characters of each document from its parts.
+    """`n_pages` and the first `max_chars` characters of each document from its parts.
 
     Exact: parts are shortened to the limit, and only those that start up to it are
     gathered (one that starts at the limit still gives its line break). Each part but
@@ -80,15 +84,29 @@ def full_text_of_parts(
     before = F.sum(F.length("text") + 1).over(
         order.rowsBetween(W.unboundedPreceding, -1)
     )
-    needed = (
-        parts.select(doc, "part", head_chars(F.col("text"), max_chars).alias("text"))
-        .withColumn("start", F.coalesce(before, F.lit(0)))
-        .where(F.col("start") <= max_chars)
+    placed = parts.select(
+        doc, "part", "n_pages", head_chars(F.col("text"), max_chars).alias("text")
+    ).withColumn("start", F.coalesce(before, F.lit(0)))
+    entry = F.when(F.col("start") <= max_chars, F.struct("part", "text"))
+    gathered = placed.groupBy(doc).agg(
+        F.sum("n_pages").alias("n_pages"),
+        F.sort_array(F.collect_list(entry)).alias("e"),  # leaves out the nulls
     )
-    entry = F.struct("part", "text")
-    gathered = needed.groupBy(doc).agg(F.sort_array(F.collect_list(entry)).alias("e"))
     whole = F.array_join("e.text", "\n")
-    return gathered.select(doc, head_chars(whole, max_chars).alias("full_text"))
+    return gathered.select(doc, "n_pages", head_chars(whole, max_chars).alias("full_text"))
+
+
+def concat_pages(
+    pages: DataFrame,
+    doc: str,
+    page_no: str,
+    text: str,
+    max_chars: int = FULL_TEXT_CHARS,
+    pages_per_part: int = _PAGES_PER_PART,
+) -> DataFrame:
+    """One row per document: `n_pages` and its pages in order as `full_text`."""
+    parts = page_parts(pages, doc, page_no, text, pages_per_part, max_chars)
+    return full_text_of_parts(parts, doc, max_chars)
 
 
 def parse_key(parser: str, basename: str, mtime: str):

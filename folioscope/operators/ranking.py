@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.cluster import broadcast_if_small, settle
+
 
 def best_first(score: str = "final_score") -> list:
     """Score down (missing counts as 0), then newest first, then id."""
@@ -35,36 +37,38 @@ def number_top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def with_texts(ranked: DataFrame, texts: DataFrame, key: str = "id") -> DataFrame:
-    """Fetch the wide columns for the k ranked rows (k bounds the broadcast)."""
-    return texts.join(F.broadcast(ranked), key)
+    """Fetch the wide columns for the ranked rows; few of them are broadcast."""
+    return texts.join(broadcast_if_small(ranked), key)
 
 
-def running_best(
-    scored: DataFrame, group: str, score: str = "final_score", slot: str = "1 hour"
-) -> DataFrame:
+def running_best(scored: DataFrame, group: str, score: str = "final_score") -> DataFrame:
     """Add `best_so_far`: the best score of the group up to each paper, by time and id.
 
-    A group may hold most rows, so it is cut into time slots. Windows run inside a
-    slot, the slots' best scores form a small table, and each row takes the larger of
-    its slot's running best and the best of all earlier slots. Read from a settled
-    table: `scored` is used twice.
+    A paper without a time comes first in its group; a missing group is a group.
+
+    A group may hold most rows, even at one time, so rows are range-partitioned by group,
+    time and id: a slot is a range of rows, whatever the clock says. Windows run inside
+    a slot, the best scores of (group, slot) form a small table, and each row takes the
+    larger of its slot's running best and the best of the group's earlier slots.
     """
-    micros = F.unix_micros(F.col("published").cast("timestamp"))
-    width = F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {slot})")
-    slotted = scored.withColumn("_slot", F.floor(micros / width))
+    order = [F.asc_nulls_first(group), F.asc_nulls_first("published"), F.col("id")]
+    slotted = settle(
+        scored.repartitionByRange(*order).withColumn("_slot", F.spark_partition_id())
+    )
     slots = slotted.groupBy(group, "_slot").agg(F.max(score).alias("_best"))
     earlier = W.partitionBy(group).orderBy("_slot")
     before = slots.select(
-        group,
-        "_slot",
+        F.col(group).alias("_group"),
+        F.col("_slot").alias("_at"),
         F.max("_best").over(earlier.rowsBetween(W.unboundedPreceding, -1)).alias("_prior"),
     )
-    inside = W.partitionBy(group, "_slot").orderBy("published", "id")
+    inside = W.partitionBy(group, "_slot").orderBy(F.asc_nulls_first("published"), "id")
     running = F.max(score).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slot") == F.col("_at"))
     # greatest() skips nulls, which the first slot of a group has.
     return (
         slotted.withColumn("_running", running)
-        .join(before, [group, "_slot"])
+        .join(before, same)
         .withColumn("best_so_far", F.greatest("_running", "_prior"))
-        .drop("_slot", "_running", "_prior")
+        .drop("_slot", "_at", "_group", "_running", "_prior")
     )

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.fixed_values import CSV_COLUMNS
+from folioscope.functions.display import utc_micros
 from folioscope.operators.ranking import top_k
 
 _BOM = "\ufeff"
+_ALL_FIELDS = {"ignoreNullFields": "false"}
 _ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 
@@ -23,7 +25,7 @@ def full_view(papers: DataFrame) -> DataFrame:
     nested = (T.ArrayType, T.StructType, T.MapType)
     return papers.select(
         [
-            F.to_json(f.name).alias(f.name)
+            F.to_json(f.name, _ALL_FIELDS).alias(f.name)
             if isinstance(f.dataType, nested)
             else F.col(f.name)
             for f in papers.schema.fields
@@ -38,12 +40,18 @@ def _write_csv(df: DataFrame, path: str, files: int | None) -> None:
     if files is not None:
         marked = marked.coalesce(files)
     marked.write.mode("overwrite").options(
-        header=True, escape='"', lineSep="\n", timestampNTZFormat=_ISO, timestampFormat=_ISO
+        header=True,
+        escape='"',
+        lineSep="\n",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+        timestampNTZFormat=_ISO,
+        timestampFormat=_ISO,
     ).csv(path)
 
 
 def write_csv(papers: DataFrame, path: str, files: int | None = None) -> None:
-    """`files=1` suits a top-k; by default the files follow the partitions."""
+    """`files=1` is for a top-k; by default the files follow the partitions."""
     _write_csv(csv_view(papers), path, files)
 
 
@@ -53,17 +61,17 @@ def write_full_csv(papers: DataFrame, path: str, files: int | None = None) -> No
 
 def json_rows(papers: DataFrame, key: str = "id") -> DataFrame:
     """One JSON document per paper, non-ASCII text kept as it is."""
-    return papers.select(key, F.to_json(F.struct(*papers.columns)).alias("json"))
+    return papers.select(key, F.to_json(F.struct(*papers.columns), _ALL_FIELDS).alias("json"))
 
 
 def write_json(papers: DataFrame, path: str) -> None:
-    """JSON Lines, all fields."""
-    papers.write.mode("overwrite").json(path)
+    """JSON Lines, all fields, missing ones as null."""
+    papers.write.mode("overwrite").options(**_ALL_FIELDS).json(path)
 
 
 def json_array(papers: DataFrame, k: int) -> DataFrame:
     """The top-k as one JSON array, best first; k bounds the single row."""
-    return _ordered(papers, k).select(F.to_json("data").alias("json"))
+    return _ordered(papers, k).select(F.to_json("data", _ALL_FIELDS).alias("json"))
 
 
 def api_envelope(papers: DataFrame, k: int, generated_at: str) -> DataFrame:
@@ -72,14 +80,14 @@ def api_envelope(papers: DataFrame, k: int, generated_at: str) -> DataFrame:
         F.size("data").alias("total"), F.lit(generated_at).alias("generated_at")
     )
     whole = F.struct(meta.alias("meta"), F.col("data"))
-    return _ordered(papers, k).select(F.to_json(whole).alias("json"))
+    return _ordered(papers, k).select(F.to_json(whole, _ALL_FIELDS).alias("json"))
 
 
 def _ordered(papers: DataFrame, k: int) -> DataFrame:
     """One row with the k best papers as an array. Equal scores: newest, then id."""
     rank = F.struct(
         (-F.coalesce("final_score", F.lit(0.0))).alias("a"),
-        (-F.unix_micros(F.col("published").cast("timestamp"))).alias("b"),
+        (-utc_micros(F.col("published"))).alias("b"),
         F.col("id").alias("c"),
         F.struct(*papers.columns).alias("paper"),
     )

@@ -87,12 +87,13 @@ def report_lines(
 ) -> DataFrame:
     """Header and sections in order, as the rows of a text file. `ranked` is a top-k.
 
-    `analysed` is the number of papers analysed, not the number of sections.
+    `analysed` is the number of papers analysed; the number selected is that of sections.
     """
     spark = ranked.sparkSession
     head = (
         f"# {title}\n\n- Keywords: {', '.join(keywords)}\n"
         f"- Time Window: Last {days} days\n- Total Papers Analyzed: {analysed}\n"
+        f"- Top {ranked.count()} Selected\n"
     )
     sections = report_sections(ranked).select("rank", F.col("section").alias("value"))
     top = spark.createDataFrame([(0, head)], "rank INT, value STRING")

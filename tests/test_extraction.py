@@ -9,6 +9,7 @@ from tests.conftest import rows
 
 from folioscope.operators.extraction import (
     extract_text,
+    concat_pages,
     full_text_of_parts,
     page_parts,
     parse_cache_status,
@@ -40,8 +41,9 @@ def test_tiers_and_failover(spark):
         "5": none,
         "6": none,
     }
-    strict = {r["id"]: r["parser"] for r in extract_text(df, min_chars=5).collect()}
-    assert (strict["1"], strict["3"]) == ("structured", "plain")
+    failed = extract_text(df, failed=F.col("id") == "3").collect()
+    parsers = {r["id"]: r["parser"] for r in failed}
+    assert (parsers["1"], parsers["3"]) == ("structured", "plain")
     off = {r["id"]: r["full_text"] for r in extract_text(df, structured=False).collect()}
     assert off["1"] == "nav main text"
     cut = {r["id"]: r["full_text"] for r in extract_text(df, max_chars=4).collect()}
@@ -85,6 +87,15 @@ def test_full_text_is_the_head_of_the_document(spark, limit):
         assert r["full_text"] == whole(data, r["doc"])[:limit]
 
 
+def test_one_row_for_a_document_of_many_and_repeated_pages(spark):
+    data = [("long", n // 2, f"p{n}") for n in range(5_000)] + [("short", 7, None)]
+    df = spark.createDataFrame(data, "doc STRING, page INT, text STRING").repartition(4)
+    got = {r["doc"]: r for r in concat_pages(df, "doc", "page", "text", 10**6).collect()}
+    lines = [t for _, _, t in sorted(data[:5_000], key=lambda r: (r[1], r[2]))]
+    assert got["long"]["full_text"] == "\n".join(lines) and got["long"]["n_pages"] == 5_000
+    assert (got["short"]["full_text"], got["short"]["n_pages"]) == ("", 1)
+
+
 def test_parse_cache_sees_changes(spark):
     schema = "parser STRING, basename STRING, mtime TIMESTAMP"
     at = datetime(2024, 1, 1, 12, 0, 0, 900_000)

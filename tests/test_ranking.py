@@ -56,8 +56,20 @@ def test_texts_are_fetched_for_the_ranked_rows(spark):
     assert rows(got.select("body")) == sorted((f"text {r[0]}",) for r in in_order(data)[:3])
 
 
-@pytest.mark.parametrize("slot", ["1 hour", "10 minutes", "7 days"])
-def test_running_best_matches_brute_force(spark, slot):
+def test_running_best_keeps_missing_groups_and_times(spark):
+    """One group at one time, a missing group and missing times, over several slots."""
+    data = [(f"{i:03}", None if i % 3 else "a", None if i % 5 == 0 else 7, float(i * 37 % 50)) for i in range(90)]
+    df = spark.createDataFrame(data, "id STRING, source STRING, t LONG, final_score DOUBLE")
+    df = df.withColumn("published", F.timestamp_seconds("t")).drop("t")
+    best, expected = {}, {}
+    for id_, source, _, score in sorted(data, key=lambda r: (r[2] is not None, r[0])):
+        best[source] = max(best.get(source, score), score)
+        expected[id_] = best[source]
+    got = {r["id"]: r["best_so_far"] for r in running_best(df, "source").collect()}
+    assert got == expected
+
+
+def test_running_best_matches_brute_force(spark):
     data, df = scored(spark)
     best: dict[str, float | None] = {}
     expected = {}
@@ -65,7 +77,7 @@ def test_running_best_matches_brute_force(spark, slot):
         seen = [s for s in (best.get(source), score) if s is not None]
         best[source] = max(seen) if seen else None
         expected[id_] = best[source]
-    got = {r["id"]: r["best_so_far"] for r in running_best(df, "source", slot=slot).collect()}
+    got = {r["id"]: r["best_so_far"] for r in running_best(df, "source").collect()}
     assert got == expected
 
 
@@ -78,7 +90,8 @@ def test_counts(spark):
     assert got["analysed"] == df.where(relevant & done).count()
     assert got["progress"] == pytest.approx(got["analysed"] / got["total"])
     nothing = run_counts(df.where("false"), relevant, done).first()
-    assert tuple(nothing) == (0, 0, 0, None)
+    assert tuple(nothing) == (0, 0, 0, 0, None)
+    assert run_counts(df, relevant, done, top_k=2).first()["exported"] == 2
 
 
 def test_good_and_failed_rows_are_the_input(spark):

@@ -62,6 +62,31 @@ def test_csv_file(spark, tmp_path):
     assert read["a"]["breakthrough"] == ""
 
 
+def test_csv_keeps_texts_as_they_are(spark, tmp_path):
+    odd = ["  lead and trail  ", "", None, "a\r\nb", "\ttab", 'q"q', "a,b", " "]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(odd)], "id STRING, title STRING")
+    write_csv(df, str(tmp_path / "out"), files=1)
+    (file,) = files(tmp_path / "out", "csv")
+    with open(file, encoding="utf-8-sig", newline="") as f:
+        read = {r["id"]: r["title"] for r in csv.DictReader(f)}
+    assert [read[str(i)] for i in range(len(odd))] == [t or "" for t in odd]
+
+
+def test_missing_fields_are_null_in_json(spark, tmp_path):
+    write_json(papers(spark), str(tmp_path / "out"))
+    lines = [
+        json.loads(line)
+        for file in files(tmp_path / "out", "json")
+        for line in file.read_text(encoding="utf-8").splitlines()
+    ]
+    rows = [json.loads(r["json"]) for r in json_rows(papers(spark)).collect()]
+    data = json.loads(json_array(papers(spark), 4).first()["json"])
+    envelope = json.loads(api_envelope(papers(spark), 4, "now").first()["json"])["data"]
+    for found in (lines, rows, data, envelope):
+        assert all(set(p) == set(papers(spark).columns) for p in found)
+        assert next(p for p in found if p["id"] == "a")["breakthrough"] is None
+
+
 def test_full_csv_holds_nested_columns(spark, tmp_path):
     write_full_csv(papers(spark), str(tmp_path / "out"), files=1)
     (file,) = files(tmp_path / "out", "csv")
@@ -124,6 +149,6 @@ def test_report(spark, tmp_path):
     write_report(lines, str(tmp_path / "report"))
     (file,) = files(tmp_path / "report", "txt")
     text = file.read_text(encoding="utf-8")
-    assert "- Keywords: k1, k2\n- Time Window: Last 7 days\n- Total Papers Analyzed: 4" in text
+    assert "- Keywords: k1, k2\n- Time Window: Last 7 days\n- Total Papers Analyzed: 4\n- Top 3 Selected" in text
     places = [text.index(f"## {n}. [") for n in (1, 2, 3)]
     assert places == sorted(places)
