@@ -5,29 +5,24 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.cluster import broadcast_if_small, new_run_dir, settle
-from folioscope.fixed_values import (
-    FULL_TEXT_CHARS,
-    NEWEST_LIMIT,
-    OUTLINE_CHARS,
-    SURVEY_WORDS,
-)
+from folioscope.fixed_values import SURVEY_WORDS
 from folioscope.functions.language import HAN, LetterClass, detect_language
 from folioscope.functions.prompts import TEMPLATES, render, render_by_name, template_name
 from folioscope.functions.responses import accept_insight, parse_insight
 from folioscope.functions.scoring import BonusRules, final_score, insight_bonus
 from folioscope.operators.authors import enrich_with_authors
-from folioscope.operators.evaluations import evaluation_key, misses, upsert
+from folioscope.operators.counts import split_failed
+from folioscope.operators.evaluations import evaluation_key
 from folioscope.operators.extraction import parse_outcome
 from folioscope.operators.filters import filter_papers, head_cap
-from folioscope.operators.inference import ModelFn, infer_once, rate_responses
+from folioscope.operators.inference import ModelFn, answered, infer_dealt, rate_responses
 from folioscope.operators.sentences import key_sentence
-from folioscope.schemas import EVALUATION_FIELDS
+from folioscope.schemas import EVALUATION_FIELDS, TASK_FIELD
 from folioscope.sources.papers import search
 
 _NUMBERS = ("innovation", "rigor", "impact", "total_score")
@@ -37,8 +32,13 @@ _NUMBERS = ("innovation", "rigor", "impact", "total_score")
 class AnalysisConfig:
     """Parameters of a run. `as_of` is UTC. `max_papers=None` analyses everything.
 
-    Users know caps of 20 (command line), 15 (batch) and 6 (streaming) papers; they
-    kept a single process responsive, so they are off unless asked for.
+    Users know caps of 20 (command line), 15 (batch) and 6 (streaming) papers, the
+    newest 200 records, and 12,000 characters of text in a prompt (18,000 for the mind
+    map). They kept a single process responsive, so they are off unless asked for:
+    `max_papers`, `newest_limit`, `full_text_chars`, `outline_chars`.
+
+    `parallelism` bounds the model calls at a time. Answers are committed in `waves`
+    parts of the papers; a broken run loses at most the part it was in.
     """
 
     keywords: Sequence[str]
@@ -46,7 +46,7 @@ class AnalysisConfig:
     categories: Sequence[str] = ()
     days: int = 7
     top_k: int = 5
-    newest_limit: int | None = NEWEST_LIMIT
+    newest_limit: int | None = None
     max_papers: int | None = None
     exclusions: Sequence[str] = SURVEY_WORDS
     languages: Sequence[LetterClass] = (HAN,)
@@ -57,7 +57,10 @@ class AnalysisConfig:
     author_sources: Sequence[str] = ()
     model: str = "model"
     prompt_version: str = "1"
-    full_text_chars: int | None = FULL_TEXT_CHARS
+    full_text_chars: int | None = None
+    outline_chars: int | None = None
+    parallelism: int = 64
+    waves: int = 8
 
 
 def select_candidates(papers: DataFrame, cfg: AnalysisConfig) -> DataFrame:
@@ -98,6 +101,21 @@ def score_baseline(
     )
 
 
+@dataclass(frozen=True)
+class Analysis:
+    """What a run gives.
+
+    `scored`: the papers to rank, all of them rated. `failed`: the papers with an
+    `error` (no text, a model failure, an unreadable rating), which no ranking holds.
+    `patch`: the evaluation fields to keep, rows of this run only; merge them with
+    `upsert`, or append them to a log that `fold_patches` reads.
+    """
+
+    scored: DataFrame
+    failed: DataFrame
+    patch: DataFrame
+
+
 def analyse(
     papers: DataFrame,
     texts: DataFrame,
@@ -105,155 +123,185 @@ def analyse(
     models: Mapping[str, ModelFn],
     cfg: AnalysisConfig,
     profiles: Mapping[str, DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """All analysed papers with scores, and the evaluation records to keep.
+    run_dir: str | None = None,
+) -> Analysis:
+    """Select, read, ask the models, score and enrich.
 
     `texts`: `id`, `full_text`, `error`, one row per id. `store`: `paper_id` and the
-    evaluation fields. `models`: a function per task ("rating", "insight",
-    "translation", "mindmap"); a task without one keeps what the store has.
+    evaluation fields, one row per paper. `models`: a function per task ("rating",
+    "insight", "translation", "mindmap"); a task without one keeps what the store has.
+
+    Answers are kept under `run_dir` as they come: a run that broke and is started again
+    with the same folder asks for nothing it has an answer to.
+
+    Texts move once: those of the papers with a task to do are dealt by id over
+    `parallelism` partitions, joined there and turned into prompts. Of the store, only
+    the rows of the candidates are read into the run, and none are rewritten.
     """
     spark = papers.sparkSession
-    folder = new_run_dir(spark, "analysis")
-    candidates = settle(select_candidates(papers, cfg))
-    # Few candidates: their texts are picked in the scan and only those are shuffled.
-    wanted = broadcast_if_small(candidates.select("id"))
-    outcome = parse_outcome(candidates, texts.join(wanted, "id", "left_semi"))
+    folder = run_dir or new_run_dir(spark, "analysis")
     key = evaluation_key(F.col("id"), cfg.model, cfg.prompt_version)
-    work = settle(
-        outcome.withColumn("paper_id", key).withColumn(
-            "detected", language_of("summary", cfg)
-        )
+    detected = language_of("summary", cfg)
+    chosen = select_candidates(papers, cfg)
+    candidates = settle(chosen.withColumn("paper_id", key).withColumn("detected", detected))
+    wanted = broadcast_if_small(candidates.select("paper_id"))
+    known = settle(
+        store.select("paper_id", *EVALUATION_FIELDS).join(wanted, "paper_id", "left_semi")
+    )
+    outcome = settle(
+        parse_outcome(
+            candidates.select("id", "summary"),
+            texts.select("id", F.when(F.col("full_text").isNotNull(), "").alias("full_text"), "error")
+            .join(broadcast_if_small(candidates.select("id")), "id", "left_semi"),
+        ).select("id", F.col("error").alias("parse_error"))
     )
-    readable = work.where(F.col("error").isNull())
-    records = store.select("paper_id", *EVALUATION_FIELDS)
-    fresh = [
-        run(readable, records, models[task], cfg, f"{folder}/{task}")
-        for task, run in _TASKS.items()
-        if task in models
-    ]
-    if fresh:
-        # Tasks set different fields, so a paper's rows merge without a conflict and
-        # the store is rewritten once.
-        rows = reduce(DataFrame.unionByName, fresh).groupBy("paper_id")
-        patch = rows.agg(*[F.max(f).alias(f) for f in EVALUATION_FIELDS])
-        path = f"{folder}/records"
-        upsert(records, patch, EVALUATION_FIELDS).write.parquet(path)
-        records = spark.read.parquet(path)
-
-    known = records.select("paper_id", *[F.col(c).alias(f"k_{c}") for c in EVALUATION_FIELDS])
-    joined = work.join(known, "paper_id", "left")
-    ratings = {c: F.coalesce(c, f"k_{c}", F.lit(0.0)) for c in _NUMBERS}
+    path = f"{folder}/answers"
+    _ask(candidates.join(outcome, "id"), texts, known, models, cfg, path)
+
+    answers = _read_answers(answered(spark, path), candidates)
+    work = candidates.join(outcome, "id").join(answers, "paper_id", "left").join(
+        known.select("paper_id", *[F.col(c).alias(f"k_{c}") for c in EVALUATION_FIELDS]),
+        "paper_id",
+        "left",
+    )
+    values = {c: F.coalesce(f"n_{c}", f"k_{c}") for c in EVALUATION_FIELDS}
+    unread = F.col("parse_error").isNotNull()
     insight = accept_insight(
-        F.struct(
-            F.coalesce("abstract", "k_abstract").alias("abstract"),
-            F.coalesce("breakthrough", "k_breakthrough").alias("breakthrough"),
-        ),
+        F.struct(values["abstract"].alias("abstract"), values["breakthrough"].alias("breakthrough")),
         F.col("summary"),
     )
-    rated = joined.withColumn("_i", insight).select(
+    problems = [F.col("parse_error"), F.when(~unread, F.col("task_error"))]
+    missing = F.when(
+        ~unread & F.col("task_error").isNull() & values["innovation"].isNull(), "no rating"
+    )
+    error = F.array_join(F.array_compact(F.array(*problems, missing)), "; ")
+    rated = work.withColumn("_i", insight).select(
         *[F.col(c) for c in papers.columns],
-        *[v.alias(c) for c, v in ratings.items()],
-        F.col("_i.abstract").alias("abstract"),
-        F.col("_i.breakthrough").alias("breakthrough"),
-        F.coalesce("language", "k_language", "detected").alias("language"),
-        F.when(F.col("error").isNull(), F.col("k_translation")).alias("translation"),
-        F.when(F.col("error").isNull(), F.col("k_mindmap_markdown")).alias(
-            "mindmap_markdown"
-        ),
-        "error",
+        *[F.when(unread, 0.0).otherwise(F.coalesce(values[c], F.lit(0.0))).alias(c) for c in _NUMBERS],
+        F.when(unread, F.col("summary")).otherwise(F.col("_i.abstract")).alias("abstract"),
+        F.when(unread, F.lit("")).otherwise(F.col("_i.breakthrough")).alias("breakthrough"),
+        F.when(unread, F.lit("na"))
+        .otherwise(F.coalesce(values["language"], "detected"))
+        .alias("language"),
+        *[F.when(~unread, values[c]).alias(c) for c in ("translation", "mindmap_markdown")],
+        "parse_status",
+        F.when(error != "", error).alias("error"),
     )
-    scored = add_scores(rated, cfg.rules)
+    rated = settle(add_scores(rated, cfg.rules))
+    good, failed = split_failed(rated)
     enriched = enrich_with_authors(
-        scored, profiles or {}, cfg.author_sources, cfg.author_info
+        good, profiles or {}, cfg.author_sources, cfg.author_info
+    )
+    fresh = F.coalesce(*[F.col(f"n_{f}").cast("string") for f in EVALUATION_FIELDS])
+    patch = answers.where(fresh.isNotNull()).select(
+        "paper_id", *[F.col(f"n_{f}").alias(f) for f in EVALUATION_FIELDS]
     )
-    return enriched, records
+    return Analysis(enriched, failed, settle(patch))
 
 
-def _full_text(cfg: AnalysisConfig, limit: int | None = None) -> Column:
-    text = F.col("full_text")
-    limits = [n for n in (cfg.full_text_chars, limit) if n is not None]
-    return F.substring(text, 1, min(limits)) if limits else text
+def _head(column: str, *limits: int | None) -> Column:
+    given = [n for n in limits if n is not None]
+    return F.substring(column, 1, min(given)) if given else F.col(column)
 
 
-def _answers(
-    readable: DataFrame,
-    records: DataFrame,
-    task_field: str,
-    prompt: Column,
-    task: str,
-    model_fn: ModelFn,
-    path: str,
-) -> DataFrame:
-    pending = misses(readable.select("paper_id"), records, task_field)
-    # Ids decide; with few of them no text is shuffled.
-    todo = readable.join(broadcast_if_small(pending), "paper_id", "left_semi")
-    prompts = todo.select("paper_id", prompt.alias("prompt"))
-    return infer_once(prompts, task, model_fn, path).where(F.col("error").isNull())
+def _prompts(cfg: AnalysisConfig) -> dict[str, Column]:
+    text = _head("full_text", cfg.full_text_chars)
+    name = template_name(F.col("detected"), "insight", "insight_en", cfg.templates)
+    bodies = {k: v for k, v in cfg.templates.items() if k.startswith("insight_")}
+    outline = _head("full_text", cfg.full_text_chars, cfg.outline_chars)
+    return {
+        "rating": render(cfg.templates["rating"], {"full_text": text}),
+        "insight": render_by_name(
+            name, {"abstract": F.col("summary"), "full_text": text}, bodies
+        ),
+        "translation": render(cfg.templates["translation"], {"abstract": F.col("summary")}),
+        "mindmap": render(cfg.templates["mindmap"], {"full_text": outline}),
+    }
 
 
-def _record(answers: DataFrame, values: Mapping[str, Column]) -> DataFrame:
-    """Answers as store rows, null in every field the task does not set."""
-    return answers.select(
-        "paper_id",
-        *[
-            values.get(f, F.lit(None))
-            .cast("double" if f in _NUMBERS else "string")
-            .alias(f)
-            for f in EVALUATION_FIELDS
-        ],
+def _ask(
+    readable: DataFrame,
+    texts: DataFrame,
+    known: DataFrame,
+    models: Mapping[str, ModelFn],
+    cfg: AnalysisConfig,
+    path: str,
+) -> None:
+    """Append the answers that are neither stored nor kept by an earlier start."""
+    tasks = [t for t in TASK_FIELD if t in models]
+    if not tasks:
+        return
+    spark = readable.sparkSession
+    have = known.select(
+        "paper_id", *[F.col(TASK_FIELD[t]).isNotNull().alias(f"has_{t}") for t in tasks]
     )
+    for wave in range(cfg.waves):
+        kept = answered(spark, path).where("error is null").groupBy("paper_id").agg(
+            *[F.max(F.col("task") == t).alias(f"kept_{t}") for t in tasks]
+        )
+        needs = [
+            F.when(~F.coalesce(f"has_{t}", F.lit(False)) & ~F.coalesce(f"kept_{t}", F.lit(False)), t)
+            for t in tasks
+        ]
+        todo = settle(
+            readable.where(F.col("parse_error").isNull())
+            .where(F.pmod(F.xxhash64("id"), F.lit(cfg.waves)) == wave)
+            .join(have, "paper_id", "left")
+            .join(kept, "paper_id", "left")
+            .withColumn("tasks", F.array_compact(F.array(*needs)))
+            .where(F.size("tasks") > 0)
+            .select("id", "paper_id", "summary", "detected", "tasks")
+        )
+        some = broadcast_if_small(todo.select("id"))
+        bodies = texts.select("id", "full_text").join(some, "id", "left_semi")
+        dealt = bodies.repartition(cfg.parallelism, "id").join(todo.hint("merge"), "id")
+        built = _prompts(cfg)
+        prompt = F.coalesce(*[F.when(F.col("task") == t, built[t]) for t in tasks])
+        asked = dealt.withColumn("task", F.explode("tasks")).select("paper_id", "task", prompt.alias("prompt"))
+        infer_dealt(asked, models).write.mode("append").parquet(path)
 
 
-def _rating(readable, records, model_fn, cfg, path) -> DataFrame:
-    prompt = render(cfg.templates["rating"], {"full_text": _full_text(cfg)})
-    answers = _answers(readable, records, "innovation", prompt, "rating", model_fn, path)
-    rated = rate_responses(answers).where(F.col("parse_status") == "ok")
-    return _record(rated, {c: F.col(c) for c in (*_NUMBERS, "raw_response")})
+def _read_answers(answers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A row per paper: the new fields, `parse_status` of the rating and `task_error`.
 
+    An answer makes up for an earlier error of the same task.
+    """
+    def raw(task: str) -> Column:
+        return F.max(F.when(F.col("task") == task, F.col("raw_response")))
 
-def _insight(readable, records, model_fn, cfg, path) -> DataFrame:
-    name = template_name(F.col("detected"), "insight", "insight_en", cfg.templates)
-    bodies = {k: v for k, v in cfg.templates.items() if k.startswith("insight_")}
-    slots = {"abstract": F.col("summary"), "full_text": _full_text(cfg)}
-    prompt = render_by_name(name, slots, bodies)
-    answers = _answers(
-        readable, records, "breakthrough", prompt, "insight", model_fn, path
+    per_task = answers.groupBy("paper_id", "task").agg(
+        F.max("raw_response").alias("raw_response"), F.max("error").alias("error")
     )
-    about = readable.select("paper_id", "summary", "detected")
-    read = answers.withColumn("_p", parse_insight(F.col("raw_response"))["parsed"]).join(
-        about, "paper_id"
+    problem = F.when(
+        F.col("raw_response").isNull(), F.concat("task", F.lit(": "), F.col("error"))
     )
-    judged = read.withColumn("_a", accept_insight(F.col("_p"), F.col("summary")))
-    return _record(
-        judged.where("_a.accepted"),
-        {
-            "abstract": F.col("_a.abstract"),
-            "breakthrough": F.col("_a.breakthrough"),
-            "language": F.col("detected"),
-        },
+    wide = per_task.groupBy("paper_id").agg(
+        *[raw(t).alias(t) for t in TASK_FIELD],
+        F.array_join(F.array_sort(F.collect_list(problem)), "; ").alias("task_error"),
     )
-
-
-def _translation(readable, records, model_fn, cfg, path) -> DataFrame:
-    prompt = render(cfg.templates["translation"], {"abstract": F.col("summary")})
-    answers = _answers(
-        readable, records, "translation", prompt, "translation", model_fn, path
+    rated = rate_responses(wide, "rating").withColumn(
+        "_p", parse_insight(F.col("insight"))["parsed"]
     )
-    return _record(answers, {"translation": F.col("raw_response")})
-
-
-def _mindmap(readable, records, model_fn, cfg, path) -> DataFrame:
-    text = _full_text(cfg, OUTLINE_CHARS)
-    prompt = render(cfg.templates["mindmap"], {"full_text": text})
-    answers = _answers(
-        readable, records, "mindmap_markdown", prompt, "mindmap", model_fn, path
+    read = rated.join(candidates.select("paper_id", "summary", "detected"), "paper_id")
+    read = read.withColumn("_a", accept_insight(F.col("_p"), F.col("summary")))
+    ok = F.col("rating").isNotNull() & (F.col("parse_status") == "ok")
+    unreadable = F.when(F.col("rating").isNotNull() & ~ok, F.lit("rating: unreadable answer"))
+    errors = F.array(F.when(F.col("task_error") != "", F.col("task_error")), unreadable)
+    new = {
+        **{c: F.when(ok, F.col(c)) for c in _NUMBERS},
+        "raw_response": F.when(ok, F.col("rating")),
+        "abstract": F.when(F.col("_a.accepted"), F.col("_a.abstract")),
+        "breakthrough": F.when(F.col("_a.accepted"), F.col("_a.breakthrough")),
+        "language": F.when(F.col("_a.accepted"), F.col("detected")),
+        "translation": F.col("translation"),
+        "mindmap_markdown": F.col("mindmap"),
+    }
+    joined = F.array_join(F.array_compact(errors), "; ")
+    return settle(
+        read.select(
+            "paper_id",
+            *[new[f].alias(f"n_{f}") for f in EVALUATION_FIELDS],
+            F.when(F.col("rating").isNotNull(), F.col("parse_status")).alias("parse_status"),
+            F.when(joined != "", joined).alias("task_error"),
+        )
     )
-    return _record(answers, {"mindmap_markdown": F.col("raw_response")})
-
-
-_TASKS = {
-    "rating": _rating,
-    "insight": _insight,
-    "translation": _translation,
-    "mindmap": _mindmap,
-}

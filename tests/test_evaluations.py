@@ -148,6 +148,8 @@ def test_written_answers_are_not_asked_again(spark, tmp_path):
     assert answers.count() == 40
     assert answers.where("error IS NULL").count() == 40
     assert calls.read_text() == "x" * 40
+    infer_once(prompts(spark), "rating", model, str(tmp_path / "answers"))
+    assert calls.read_text() == "x" * 40
 
 
 def test_unreadable_ratings_are_zero_and_marked(spark):
