@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from folioscope.cluster import settle
 from folioscope.fixed_values import NO_SOURCE, UNKNOWN_AUTHOR
 from folioscope.functions.display import first_or_default, shown_number
-from folioscope.operators.skew import hot_keys, skew_join
 from folioscope.sources.profiles import PROFILE_FIELDS
 
 
@@ -28,15 +27,16 @@ def unnest_authors(
 def merge_sources(
     profiles: Mapping[str, DataFrame], order: Sequence[str]
 ) -> DataFrame:
-    """One profile per name: the whole row of the first source, in `order`, that has it."""
+    """One profile per name: the whole row of the first source, in `order`, that has it.
+
+    Of several rows of one source the least by its fields counts, so reruns agree.
+    """
     ranked = [
-        profiles[source].select(
-            "name", F.struct(*PROFILE_FIELDS).alias("info"), F.lit(rank).alias("rank")
-        )
+        profiles[source].select("name", F.struct(F.lit(rank), *PROFILE_FIELDS).alias("info"))
         for rank, source in enumerate(order)
     ]
     every = reduce(DataFrame.unionByName, ranked)
-    best = every.groupBy("name").agg(F.min_by("info", "rank").alias("info"))
+    best = every.groupBy("name").agg(F.min("info").alias("info"))
     return best.select("name", *[f"info.{f}" for f in PROFILE_FIELDS])
 
 
@@ -47,37 +47,26 @@ def resolve_authors(
 
     Each name is looked up once however often it is written on papers.
     """
-    wanted = names.groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
-    return _profiles_of(wanted, profiles, order).drop("rows")
-
-
-def _profiles_of(
-    counted: DataFrame, profiles: Mapping[str, DataFrame], order: Sequence[str]
-) -> DataFrame:
-    found = counted.join(merge_sources(profiles, order), "name", "left")
+    wanted = names.select("name").distinct()
+    found = wanted.join(merge_sources(profiles, order), "name", "left")
     return found.withColumns(
         {
             "affiliations": F.coalesce("affiliations", F.array().cast("array<string>")),
             "source_used": F.coalesce("source_used", F.lit(NO_SOURCE)),
         }
-    ).select("name", "rows", *PROFILE_FIELDS)
+    ).select("name", *PROFILE_FIELDS)
 
 
 def attach_profiles(
-    authored: DataFrame,
-    profiles: Mapping[str, DataFrame],
-    order: Sequence[str],
-    min_hot_rows: int = 5_000_000,
+    authored: DataFrame, profiles: Mapping[str, DataFrame], order: Sequence[str]
 ) -> DataFrame:
-    """Author rows with their profiles; a name on a third of them is spread by salt.
+    """Author rows with their profiles.
 
-    Profiles and row counts of the distinct names are settled once: they give the
-    list of hot names and both sides of the join read the same table.
+    There is one profile per name, so a name on very many rows is split by the adaptive
+    skew join, which repeats only that one row. The profiles are settled first, as only
+    a side that comes straight from its shuffle can be repeated.
     """
-    counted = authored.groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
-    resolved = settle(_profiles_of(counted, profiles, order))
-    hot = hot_keys(resolved, "name", min_hot_rows)
-    return skew_join(authored, resolved.drop("rows"), "name", hot, "left")
+    return authored.join(settle(resolve_authors(authored, profiles, order)), "name", "left")
 
 
 def nest_authors(
@@ -102,7 +91,8 @@ def enrich_with_authors(
     """Add `authors_info`; off, or without sources, the papers pass unchanged."""
     if not enabled or not order:
         return papers
-    attached = attach_profiles(unnest_authors(papers, key), profiles, order)
+    named = papers.select(key, "authors")  # the wide rows meet only the result
+    attached = attach_profiles(unnest_authors(named, key), profiles, order)
     nested = nest_authors(attached, key)
     return papers.join(nested, key, "left").withColumn(
         "authors_info",
@@ -132,9 +122,11 @@ def author_metrics(citations: DataFrame) -> DataFrame:
     whole = F.floor(F.coalesce("citations", F.lit(0))).cast("long")
     rows = citations.select("author", whole.alias("c"))
     totals = rows.groupBy("author").agg(
-        F.count(F.lit(1)).alias("paper_count"), F.sum("c").alias("citation_count")
+        F.count(F.lit(1)).alias("paper_count"),
+        F.sum("c").alias("citation_count"),
+        F.sum(F.greatest("c", F.lit(0))).alias("positive"),
     )
-    largest = F.greatest(F.max("citation_count"), F.lit(0))
+    largest = F.coalesce(F.max("positive"), F.lit(0))
     bound = totals.agg(F.ceil(F.sqrt(largest)).alias("bound")).scalar()
     merged = rows.groupBy("author", F.least("c", bound).alias("c")).agg(
         F.count(F.lit(1)).alias("n")
@@ -146,4 +138,4 @@ def author_metrics(citations: DataFrame) -> DataFrame:
         .groupBy("author")
         .agg(F.greatest(F.max("h"), F.lit(0)).alias("h_index"))
     )
-    return totals.join(indexed, "author")
+    return totals.drop("positive").join(indexed, "author")

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from folioscope.operators.counts import split_failed
 from folioscope.operators.ranking import top_k
 
 Score = Callable[[DataFrame], DataFrame]
 
-def _at(path: str, part: str, batch: int) -> str:
-    return f"{path}/{part}/at={batch}"
+_PROGRESS = "batch BIGINT, arrived BIGINT, analysed BIGINT"
+
+
+def _slot(path: str, part: str, batch: int) -> str:
+    """State of a batch: two folders in turn, so the one before survives a rewrite."""
+    return f"{path}/{part}/slot={batch % 2}"
 
 
 def rank_stream(papers: DataFrame, score: Score, k: int, path: str) -> DataStreamWriter:
@@ -22,49 +28,46 @@ def rank_stream(papers: DataFrame, score: Score, k: int, path: str) -> DataStrea
 
     `score` maps papers to scored rows (`id`, `published`, `final_score`, ...) without
     state; a column `error`, if there is one, sends a row to quarantine. Under `path`:
-    `scored` and `quarantine` hold each batch's rows, `best` the top-k after each
-    batch and `progress` the counts after it.
+    `scored` and `quarantine` hold each batch's rows; `best` the top-k and `progress` a
+    table of the counts, after the last batch and the one before.
 
-    The top-k of a union is the top-k of the parts' top-k, so the state is k rows.
-    Every folder is named by batch and overwritten, so a batch run again after a
-    failure leaves the same files.
+    The top-k of a union is the top-k of the parts' top-k, so the state is k rows. State
+    goes to two folders in turn and a batch reads only the other one, so a batch run
+    again after a failure leaves the same state.
     """
     spark = papers.sparkSession
-    start = spark.range(1)
     shape = score(spark.createDataFrame([], papers.schema)).schema
-    nothing = start.where("false").select(
-        [F.lit(None).cast(f.dataType).alias(f.name) for f in shape.fields]
-    )
-    nothing.write.mode("overwrite").parquet(_at(path, "best", -1))
-    zero = F.lit(0).cast("bigint")
-    start.select(
-        F.lit(-1).cast("bigint").alias("batch"),
-        zero.alias("arrived"),
-        zero.alias("analysed"),
-    ).write.mode("overwrite").parquet(_at(path, "progress", -1))
 
     def absorb(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        here = _at(path, "scored", number)
+        here = f"{path}/scored/at={number}"
         # Written before it is read: scoring runs once per batch.
         score(batch).write.mode("overwrite").parquet(here)
-        good, failed = split_or_all(session.read.parquet(here))
+        rows = session.read.schema(shape).parquet(here)
+        good, failed = split_or_all(rows)
         if failed is not None:
-            failed.write.mode("overwrite").parquet(_at(path, "quarantine", number))
-        before = session.read.parquet(_at(path, "best", number - 1))
-        top_k(before.unionByName(top_k(good, k)), k).write.mode("overwrite").parquet(
-            _at(path, "best", number)
-        )
+            failed.write.mode("overwrite").parquet(f"{path}/quarantine/at={number}")
         ok = F.col("error").isNull() if failed is not None else F.lit(True)
-        now = session.read.parquet(here).agg(
-            F.count(F.lit(1)).alias("arrived"), F.count_if(ok).alias("analysed")
-        )
-        last = session.read.parquet(_at(path, "progress", number - 1)).drop("batch")
-        last.unionByName(now).agg(
+        best = top_k(good, k)
+        now = rows.agg(
             F.lit(number).cast("bigint").alias("batch"),
-            F.sum("arrived").alias("arrived"),
-            F.sum("analysed").alias("analysed"),
-        ).write.mode("overwrite").parquet(_at(path, "progress", number))
+            F.count(F.lit(1)).alias("arrived"),
+            F.count_if(ok).alias("analysed"),
+        )
+        if number:
+            before = session.read.schema(shape).parquet(_slot(path, "best", number - 1))
+            best = top_k(before.unionByName(best), k)
+            steps = session.read.schema(_PROGRESS).parquet(_slot(path, "progress", number - 1))
+            last = steps.orderBy(F.desc("batch")).limit(1)
+            now = steps.unionByName(
+                last.unionByName(now).agg(
+                    F.lit(number).cast("bigint").alias("batch"),
+                    F.sum("arrived").alias("arrived"),
+                    F.sum("analysed").alias("analysed"),
+                )
+            )
+        best.write.mode("overwrite").parquet(_slot(path, "best", number))
+        now.coalesce(1).write.mode("overwrite").parquet(_slot(path, "progress", number))
 
     return papers.writeStream.foreachBatch(absorb).option(
         "checkpointLocation", f"{path}/_checkpoint"
@@ -76,11 +79,26 @@ def split_or_all(scored: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    """Counts after each batch; the row of batch -1 stands for the start."""
-    return spark.read.parquet(f"{path}/progress").drop("at")
+    """`batch`, `arrived`, `analysed` after each batch; no rows when nothing arrived."""
+    steps = _state(spark, path, "progress", _PROGRESS)
+    return steps.select("batch", "arrived", "analysed").distinct()
 
 
-def read_best(spark: SparkSession, path: str) -> DataFrame:
-    """The top-k after the last finished batch; empty when nothing arrived."""
+def read_best(spark: SparkSession, path: str, shape: StructType | str) -> DataFrame:
+    """The top-k after the last finished batch; empty when nothing arrived.
+
+    `shape` is the schema of the scored rows.
+    """
     last = read_progress(spark, path).agg(F.max("batch")).first()[0]
-    return spark.read.parquet(_at(path, "best", last))
+    if last is None:
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).parquet(_slot(path, "best", last))
+
+
+def _state(spark: SparkSession, path: str, part: str, shape: str) -> DataFrame:
+    try:
+        return spark.read.schema(shape).parquet(f"{path}/{part}")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], shape)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from tests.conftest import rows
+from tests.conftest import plan_of, rows
 
 from folioscope.operators.authors import (
     attach_profiles,
@@ -16,7 +16,6 @@ from folioscope.operators.authors import (
     resolve_authors,
     unnest_authors,
 )
-from folioscope.operators.skew import hot_keys, skew_join
 from folioscope.sources.profiles import from_flat_payload, from_nested_payload
 
 FLAT = [
@@ -119,27 +118,25 @@ def test_a_hot_name_is_spread_and_nothing_is_lost(spark):
     data = [(f"p{n}", ["Ann", "Bob" if n % 3 else "Zed", "Ann"]) for n in range(300)]
     df = spark.createDataFrame(data, "id STRING, authors ARRAY<STRING>")
     authored = unnest_authors(df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1k")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.1")
+    try:
+        hot = attach_profiles(authored.repartition(8), profiles(spark), ORDER)
+        found = sorted((r["id"], r["pos"], r["name"], r["source_used"]) for r in hot.collect())
+        assert "skew=true" in plan_of(hot)
+    finally:
+        for key in ("adaptive.advisoryPartitionSizeInBytes", "autoBroadcastJoinThreshold",
+                    "adaptive.skewJoin.skewedPartitionThresholdInBytes",
+                    "adaptive.skewJoin.skewedPartitionFactor"):
+            spark.conf.unset(f"spark.sql.{key}")
     cold = attach_profiles(authored, profiles(spark), ORDER)
-    hot = attach_profiles(authored, profiles(spark), ORDER, min_hot_rows=150)
-    assert rows(hot) == rows(cold)
-    assert hot.count() == 900
+    assert found == rows(cold.select("id", "pos", "name", "source_used"))
+    assert len(found) == 900
     assert nest_authors(hot).count() == 300
 
 
-def test_hot_keys_and_salts(spark):
-    left = spark.createDataFrame(
-        [("hot", n) for n in range(1000)] + [("cold", 1), (None, 2), ("lost", 3)],
-        "k STRING, n INT",
-    )
-    right = spark.createDataFrame([("hot", "H"), ("cold", "C"), ("other", "O")], "k STRING, v STRING")
-    counts = left.groupBy("k").agg(F.count("*").alias("rows"))
-    hot = hot_keys(counts, "k", 100)
-    assert rows(hot) == [("hot",)]
-    for how in ("left", "inner"):
-        salted = skew_join(left, right, "k", hot, how, salts=8)
-        assert rows(salted.select("k", "n", "v")) == rows(left.join(right, "k", how))
-
-
 def h_index(citations):
     ordered = sorted(citations, reverse=True)
     return sum(1 for n, c in enumerate(ordered, 1) if c >= n)
