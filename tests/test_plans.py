@@ -8,20 +8,23 @@ import pytest
 from pyspark.sql import functions as F
 from tests.conftest import plan_of
 
-from __spark_entry__ import queries
+import __spark_entry__  # noqa: F401  (fills the registry)
 from folioscope.cluster import broadcast_if_small, settle, shared_dir
 from folioscope.operators.evaluations import hits, lookup, misses, upsert
 from folioscope.sources.colocated import write_colocated
+from suite.registry import QUERIES
 
 # Built from at most k rows, so one task is enough.
-TOP_K_ONLY = {"topk_ranked", "report_sections", "api_envelope", "stream_topk"}
+TOP_K_ONLY = {
+    "topk_ranked", "report_sections", "report_lines", "api_envelope", "stream_topk",
+}
 # One row of counts at the end of partial aggregates.
 ONE_ROW = {"run_counts", "author_metrics"}
 
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {n: plan_of(q(spark, "/root/testdata/sf0.001")) for n, q in queries().items()}
+    return {n: plan_of(q(spark, "/root/testdata/sf0.001")) for n, q in QUERIES.items()}
 
 
 def test_no_all_pairs_joins(plans):
@@ -77,11 +80,15 @@ def test_text_operators_do_not_shuffle(plans):
         "final_score",
         "paper_card",
         "quarantine_split",
-        "batch_infer",
     ):
         assert "Exchange" not in plans[name], name
 
 
+def test_model_calls_keep_their_stated_partitions(plans):
+    assert re.search(r"hashpartitioning\(paper_id#\d+, 64\), REPARTITION_BY_NUM", plans["batch_infer"])
+    assert plans["batch_infer"].count("Exchange") == 1
+
+
 def test_log_fold_is_one_hash_aggregation(plans):
     assert plans["cache_fold"].count("Exchange") == 1
     assert "SortAggregate" not in plans["cache_fold"]
