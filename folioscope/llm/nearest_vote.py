@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.ordering import hash_sample
 from folioscope.llm.text_arrays import in_small_batches, mix64, slices, string_bytes, words_of
 
 #: Hashed byte trigrams of a text, and then counts of events of its words.
@@ -179,9 +180,10 @@ def learn(
     ).select("doc_id", F.col("quality").cast("int").alias("label"))
     counts = dict(usable.groupBy("label").count().collect())  # two rows
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    order = F.xxhash64(F.lit(8_001), "doc_id")
     chosen = [
-        usable.where(F.col("label") == value).orderBy(order, "doc_id").limit(sample)
+        hash_sample(
+            usable.where(F.col("label") == value), F.col("doc_id"), sample, counts.get(value, 0)
+        )
         for value in (0, 1)
     ]
     # At most twice the sample, which bounds the broadcast and what is collected.

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.ordering import hash_sample
 from folioscope.llm.text_arrays import in_small_batches, slices
 
 #: Kinds of spans, in the order in which equal starts are listed.
@@ -488,16 +489,9 @@ def learn_tagger(docs: DataFrame, sample: int = 400, invented: int = 165) -> Tag
     only what lies around these characters is brought to the driver, at most 2,000
     characters of a text. Labels are the rules' spans.
     """
-    rows = (
-        in_small_batches(docs)
-        .where(F.col("text").rlike("[0-9@]"))
-        .select("text", F.xxhash64(F.lit(6_001), "text").alias("_order"))
-        .orderBy("_order", "text")
-        .limit(sample)
-        .select("text")
-        .mapInArrow(_around, "text string")
-        .collect()
-    )
+    usable = in_small_batches(docs).where(F.col("text").rlike("[0-9@]")).select("text")
+    chosen = hash_sample(usable, F.col("text"), sample, usable.count())
+    rows = chosen.mapInArrow(_around, "text string").collect()
     examples = [(r["text"], base_spans(r["text"])) for r in rows]
     return train([*examples, *_invented(invented, 5)])
 

@@ -41,7 +41,7 @@ def slow_base(text):
 
 @pytest.fixture(scope="module")
 def tagger(spark, sf_dir):
-    return pt.learn_tagger(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    return pt.learn_tagger(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
 
 
 def test_rules():
