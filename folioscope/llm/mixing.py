@@ -163,7 +163,9 @@ def _pieces(streamed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
             )
         ).alias("block_no"),
     )
-    joined = opened.join(slots, ["source_rank", "block_no"])
+    # Slots are opened from a small table, so the planner takes them for few; they grow
+    # with the words.
+    joined = opened.join(slots.hint("merge"), ["source_rank", "block_no"])
     head = F.col("block_no") * block
     start = F.greatest(head, F.col("at")) - F.col("at")
     end = F.least(head + F.col("words"), F.col("at") + F.col("size")) - F.col("at")
@@ -188,7 +190,7 @@ def mix_counts(docs: DataFrame, block: int = BLOCK, **plan: object) -> DataFrame
     own = F.when(F.col("size") > 0, F.col("before"))
     return (
         streamed.withColumn("_key", own)
-        .join(taken.withColumnRenamed("before", "_key"), "_key", "left")
+        .join(taken.withColumnRenamed("before", "_key").hint("merge"), "_key", "left")
         .select(
             "doc_id",
             "size",
@@ -227,7 +229,7 @@ def mix_texts(docs: DataFrame, block: int = BLOCK, **plan: object) -> DataFrame:
         )
     )
     mixed = keyed.join(
-        pieces,
+        pieces.hint("merge"),
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")),
     ).withColumn("_words", words)
     new = F.when(F.col("_taken") == F.size("_words"), F.col("text")).otherwise(

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
 from folioscope.llm.mixing import mix_counts, mix_texts
 
+from tests.conftest import plan_of
+
 from . import brute
 
 
@@ -77,6 +80,16 @@ def test_texts_hold_what_is_counted(spark):
     assert found == taken
 
 
+def test_what_grows_with_the_words_is_not_broadcast(spark):
+    docs = brute.docs_of(spark, *corpus())
+    for mixed in (mix_counts(docs), mix_texts(docs)):
+        plan = plan_of(mixed)
+        # Sums of shuffle partitions and the table of sources may be; slots may not.
+        assert "SortMergeJoin" in plan
+        for side in re.findall(r"BroadcastExchange.*?(?=\n\S|\Z)", plan, re.S):
+            assert "pass_no" not in side.split("\n")[0]
+
+
 def test_repeated_and_nameless_rows(spark):
     docs = brute.docs_of(spark, ["x y z"] * 3 + ["q r"], ids=[1, 1, None, None])
     counts = mix_counts(docs).collect()
