@@ -14,7 +14,7 @@ from folioscope.llm.ordering import hash_sample
 from folioscope.llm.text_arrays import in_small_batches, mix64, slices, string_bytes, words_of
 
 #: Hashed byte trigrams of a text, and then counts of events of its words.
-TRIGRAMS = 2_048
+TRIGRAMS = 1_024
 EVENTS = 6
 #: Events count this many times as much as trigrams of the same share.
 _EVENT_WEIGHT = 3.0
@@ -168,7 +168,7 @@ def remainder(key: str, of: int) -> Column:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, sample: int = 2_048, folds: int = 5, dims: int = 64
+    docs: DataFrame, labels: DataFrame, sample: int = 1_024, folds: int = 5, dims: int = 64
 ) -> Neighbours:
     """Fit on at most `sample` texts of each label, those first in a keyed hash order.
 
