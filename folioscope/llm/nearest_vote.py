@@ -114,12 +114,14 @@ def fit_neighbours(
     values, directions = np.linalg.eigh((x.T @ x).astype(np.float64))
     projection = directions[:, ::-1][:, :dims].astype(np.float32)
     sampled = labels.mean() if len(labels) else 0.5
+    # With few texts of one label, its kinds of texts have fewer neighbours still.
+    rarer = int(min((labels == 0).sum(), (labels == 1).sum()))
     balance = np.array(
         [(1 - share) / max(1 - sampled, 1e-9), share / max(sampled, 1e-9)], dtype=np.float32
     )
     return Neighbours(
         weights, projection, _latent(shares, weights, projection),
-        labels.astype(np.int64), balance, share, min(k, len(labels)),
+        labels.astype(np.int64), balance, share, min(k, len(labels), max(1, rarer // 3)),
     )
 
 
