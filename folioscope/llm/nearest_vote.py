@@ -184,8 +184,8 @@ def learn(
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     chosen = [
         hash_sample(
-            usable.where(F.col("label") == value), F.col("doc_id"), sample, counts.get(value, 0)
-        )
+            usable.where(F.col("label") == value), "doc_id", sample
+        ).withColumn("label", F.lit(value))
         for value in (0, 1)
     ]
     # At most twice the sample, which bounds the broadcast and what is collected.

@@ -49,13 +49,19 @@ def running_total(
     )
 
 
-def hash_sample(df: DataFrame, key: Column, rows: int, of: int) -> DataFrame:
-    """Up to `rows` of the `of` rows of `df`: those with the least hash of `key`.
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Up to `rows` distinct values of the column `key`: those with the least hash.
 
-    Rows beyond twice the expected bound go at once, so few rows meet in the task that
-    takes the least, however many partitions there are.
+    Copies count once. Values beyond twice the expected bound go at once, so few meet in
+    the task that takes the least, however many partitions there are; where fewer than
+    `rows` lie below the bound, all are taken into account.
     """
     order = F.xxhash64(F.lit(8_001), key)
+    of = df.agg(F.approx_count_distinct(order)).first()[0]
+    values = df.select(key)
     if of > 2 * rows:
-        df = df.where(order < F.lit(-(2**63) + int(2 * rows / of * 2**64)))
-    return df.orderBy(order, key).limit(rows)
+        bound = F.lit(-(2**63) + int(2 * rows / of * 2**64))
+        low = settle(values.where(order < bound).distinct())
+        if low.count() >= rows:
+            return low.orderBy(order, key).limit(rows)
+    return values.distinct().orderBy(order, key).limit(rows)

@@ -304,10 +304,12 @@ def _tags(size: int, offset: int, spans: list[Span]) -> np.ndarray:
 
 
 def train(
-    examples: list[tuple[str, list[Span]]], passes: int = 12, seed: int = 3, size: int = 32
+    examples: list[tuple[str, list[Span]]], passes: int = 12, seed: int = 3, size: int = 32,
+    steps: int = 600,
 ) -> Tagger:
     """A tagger from texts and their labelled spans, by Adam on shuffled windows.
 
+    Few windows get more than `passes` passes, as many as make `steps` steps.
     Windows that cut a span are left out; a span is whole in another one.
     """
     codes, tags = [], []
@@ -322,6 +324,7 @@ def train(
     if not codes:
         return model
     x, y = np.stack(codes), np.stack(tags)
+    passes = max(passes, -(-steps // -(-len(x) // size)))
     r = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
@@ -482,32 +485,50 @@ def _invented(count: int, seed: int) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def learn_tagger(docs: DataFrame, sample: int = 400, invented: int = 165) -> Tagger:
+def learn_tagger(
+    docs: DataFrame, sample: int = 400, invented: int = 165, chars: int = 2_000
+) -> Tagger:
     """Train on at most `sample` texts that the rules label, and on `invented` ones.
 
-    The sample holds texts with a digit or at sign, those first in a keyed hash order;
-    only what lies around these characters is brought to the driver, at most 2,000
-    characters of a text. Labels are the rules' spans.
+    The sample holds distinct texts with a digit or at sign, those first in a keyed hash
+    order; only what lies around these characters is brought to the driver, as many whole
+    windows of a text as `chars` characters hold. Labels are the rules' spans.
     """
     usable = in_small_batches(docs).where(F.col("text").rlike("[0-9@]")).select("text")
-    chosen = hash_sample(usable, F.col("text"), sample, usable.count())
-    rows = chosen.mapInArrow(_around, "text string").collect()
+    chosen = hash_sample(usable, "text", sample)
+    rows = chosen.mapInArrow(lambda it: _around(it, chars), "text string").collect()
     examples = [(r["text"], base_spans(r["text"])) for r in rows]
     return train([*examples, *_invented(invented, 5)])
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def training_text(text: str, chars: int) -> str:
+    """The first whole windows of a text that `chars` characters hold, and one at least.
+
+    Windows that meet are one piece. Where the last one ends inside a span of the rules,
+    the piece ends before it.
+    """
+    pieces: list[list[int]] = []
+    length = 0
+    for b, e in windows(text):
+        meets = bool(pieces) and b <= pieces[-1][1]
+        more = e - pieces[-1][1] if meets else e - b + bool(pieces)
+        if pieces and length + more > chars:
+            break
+        length += more
+        if meets:
+            pieces[-1][1] = e
+        else:
+            pieces.append([b, e])
+    if pieces:
+        end = pieces[-1][1]
+        cut = [s for s, e, _ in base_spans(text) if s < end < e]
+        pieces[-1][1] = max(pieces[-1][0], min(cut, default=end))
+    return "\n".join(text[b:e] for b, e in pieces)
+
+
+def _around(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for text in batch.column("text").to_pylist():
-            spots = windows(text)
-            joined_ = [[b, e] for b, e in spots[:1]]
-            for b, e in spots[1:]:
-                if b <= joined_[-1][1]:
-                    joined_[-1][1] = e
-                else:
-                    joined_.append([b, e])
-            texts.append("\n".join(text[b:e] for b, e in joined_)[:2_000])
+        texts = [training_text(text, chars) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
 
 

@@ -5,8 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import pii_tagger as pt
+from folioscope.llm.ordering import hash_sample
 
 from . import brute
 
@@ -153,3 +155,33 @@ def test_counts_and_no_rows(spark, tagger):
     assert [tuple(r) for r in got] == [(2, 0, 1, 0), (0, 0, 0, 0)]
     assert pt.find_spans(brute.docs_of(spark, []), tagger).collect() == []
     assert pt.train([]).w["out"].shape == (2 * pt.HIDDEN, pt.TAGS)
+
+
+def test_sample_of_few_texts_with_many_copies(spark):
+    """Copies count once, and a bound that too few distinct texts meet is lifted."""
+    rows = spark.range(20_000).selectExpr("concat('text ', id % 50) text")
+    got = [r.text for r in hash_sample(rows, "text", 40).collect()]
+    assert len(got) == len(set(got)) == 40
+    assert {r.text for r in hash_sample(rows, "text", 400).collect()} == {f"text {i}" for i in range(50)}
+    many = spark.range(20_000).selectExpr("id text")
+    least = many.orderBy(F.xxhash64(F.lit(8_001), "text")).limit(30).collect()
+    assert [r.text for r in hash_sample(many, "text", 30).collect()] == [r.text for r in least]
+
+
+def test_training_text_ends_with_a_whole_window():
+    text = " ".join(f"word {i} ann{i}@mail.example.org" for i in range(200))
+    spans = pt.base_spans(text)
+    for chars in (1, 300, 2_000, 10**6):
+        cut = pt.training_text(text, chars)
+        assert 0 < len(cut) <= max(chars, pt.WINDOW) and text.startswith(cut)
+        assert pt.base_spans(cut) == [s for s in spans if s[1] <= len(cut)]
+    assert pt.training_text(text, 10**6) == text
+
+
+def test_tagger_of_the_smaller_table_agrees_with_the_rules(spark, sf_dir):
+    model = pt.learn_tagger(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    truth = [set(slow_base(t)) for t in texts]
+    found = [set(f) for f in pt.added_spans(model, texts, [[] for _ in texts])]
+    right = sum(len(t & f) for t, f in zip(truth, found, strict=True))
+    assert right / sum(map(len, truth)) > 0.9 and right / sum(map(len, found)) > 0.9
