@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from folioscope.llm.ordering import hash_sample
 from folioscope.llm.text_arrays import in_small_batches, mix64, slices, string_bytes, words_of
 
 #: Hashed byte trigrams of a text, and then counts of events of its words.
-TRIGRAMS = 1_024
+TRIGRAMS = 2_048
 EVENTS = 6
 #: Events count this many times as much as trigrams of the same share.
 _EVENT_WEIGHT = 3.0
@@ -107,12 +108,15 @@ def fit_neighbours(
     terms: np.ndarray, labels: np.ndarray, share: float, dims: int = 64, k: int = 15
 ) -> Neighbours:
     """Latent-semantic vectors of labelled texts; `share` is that of label 1 among all."""
-    shares = _shares(terms)
     used = (terms[:, :-1] > 0).sum(axis=0)
     weights = np.log((1 + len(terms)) / (1 + used)).astype(np.float32) + 1
-    x = shares * weights
-    values, directions = np.linalg.eigh((x.T @ x).astype(np.float64))
-    projection = directions[:, ::-1][:, :dims].astype(np.float32)
+    blocks = [slice(i, i + 256) for i in range(0, max(len(terms), 1), 256)]
+    gram = np.zeros((len(weights), len(weights)))
+    for block in blocks:
+        x = _shares(terms[block]) * weights
+        gram += x.T @ x
+    projection = np.linalg.eigh(gram)[1][:, ::-1][:, :dims].astype(np.float32)
+    vectors = [_latent(_shares(terms[block]), weights, projection) for block in blocks]
     sampled = labels.mean() if len(labels) else 0.5
     # With few texts of one label, its kinds of texts have fewer neighbours still.
     rarer = int(min((labels == 0).sum(), (labels == 1).sum()))
@@ -120,7 +124,7 @@ def fit_neighbours(
         [(1 - share) / max(1 - sampled, 1e-9), share / max(sampled, 1e-9)], dtype=np.float32
     )
     return Neighbours(
-        weights, projection, _latent(shares, weights, projection),
+        weights, projection, np.concatenate(vectors),
         labels.astype(np.int64), balance, share, min(k, len(labels), max(1, rarer // 3)),
     )
 
@@ -143,14 +147,18 @@ def vote(model: Neighbours, terms: np.ndarray) -> np.ndarray:
     return np.where(total > 0, good / np.where(total > 0, total, 1), model.prior)
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fit_rows(
+    batches: Iterator[pa.RecordBatch], share: float, dims: int
+) -> Iterator[pa.RecordBatch]:
+    """One row: the model of all texts of the task, which the driver need not hold."""
+    terms, labels = [np.zeros((0, _WIDTH), dtype=np.float32)], [np.zeros(0, dtype=np.int64)]
     for whole in batches:
         for batch in slices(whole, "text"):
-            terms = text_terms(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([t.tobytes() for t in terms], pa.binary())],
-                ["label", "terms"],
-            )
+            terms.append(text_terms(batch.column("text")))
+            labels.append(np.asarray(batch.column("label")).astype(np.int64))
+    if len(labels) > 1:
+        model = fit_neighbours(np.concatenate(terms), np.concatenate(labels), share, dims)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def _score_rows(batches, shared) -> Iterator[pa.RecordBatch]:
@@ -170,7 +178,7 @@ def remainder(key: str, of: int) -> Column:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, sample: int = 1_024, folds: int = 5, dims: int = 64
+    docs: DataFrame, labels: DataFrame, sample: int = 2_048, folds: int = 5, dims: int = 64
 ) -> Neighbours:
     """Fit on at most `sample` texts of each label, those first in a keyed hash order.
 
@@ -188,7 +196,7 @@ def learn(
         ).withColumn("label", F.lit(value))
         for value in (0, 1)
     ]
-    # At most twice the sample, which bounds the broadcast and what is collected.
+    # At most twice the sample, which bounds the broadcast and the task that fits.
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
     rows = (
         in_small_batches(docs)
@@ -197,12 +205,14 @@ def learn(
         .orderBy(F.xxhash64(F.lit(8_001), "doc_id"), "doc_id", "text")
         .limit(2 * sample)  # documents may repeat an id
         .select("label", "text")
-        .mapInArrow(_term_rows, "label int, terms binary")
+        .coalesce(1)
+        .mapInArrow(lambda it: _fit_rows(it, share or 0.5, dims), "model binary")
         .collect()
     )
-    terms = np.frombuffer(b"".join(bytes(r["terms"]) for r in rows), dtype=np.float32)
-    target = np.array([r["label"] for r in rows], dtype=np.int64)
-    return fit_neighbours(terms.reshape(-1, _WIDTH), target, share or 0.5, dims)
+    if not rows:
+        none = np.zeros((0, _WIDTH), dtype=np.float32)
+        return fit_neighbours(none, np.zeros(0, dtype=np.int64), share or 0.5, dims)
+    return pickle.loads(bytes(rows[0]["model"]))
 
 
 def score(docs: DataFrame, model: Neighbours) -> DataFrame:

@@ -74,3 +74,15 @@ def test_held_out_accuracy(spark):
     judged = [(r.predicted, quality[r.doc_id]) for r in got if r.held_out and r.doc_id in quality]
     assert sum(p == q for p, q in judged) / len(judged) > 0.93
     assert all(p == 1 for p, q in judged if q == 1)
+
+
+def test_learns_from_the_whole_sample_in_a_task(spark, monkeypatch):
+    """2,048 distinct texts of each label; the driver fits nothing itself."""
+    docs = spark.range(6_000).selectExpr(
+        "id doc_id", "concat(if(id % 2 = 0, 'BAD!! ', 'good words '), id) text"
+    )
+    rows = spark.range(6_000).selectExpr("id doc_id", "int(id % 2) quality")
+    monkeypatch.setattr(nv, "fit_neighbours", None)
+    model = nv.learn(docs, rows.union(rows))
+    assert np.bincount(model.labels).tolist() == [2_048, 2_048]
+    assert len(model.weights) == 2_048 + nv.EVENTS - 1

@@ -117,3 +117,11 @@ def test_pipeline_of_odd_rows(spark, sf_dir, tmp_path):
 
 def test_run_is_the_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).where("not lossless").count() == 0
+
+
+def test_quality_stage_rejects_junk(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0")
+    junk = {r.doc_id for r in labels.collect()}
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality"](spark, docs, sf_dir).collect()}
+    assert len(kept & junk) <= 0.25 * len(junk) and len(kept) >= 0.8 * 200
