@@ -32,15 +32,17 @@ BATCHES_PER_RANGE = 2
 _U = np.uint64
 _END = mix64(np.array([0xE0D], dtype=np.uint64))
 _BEGIN = mix64(np.array([0xBE6], dtype=np.uint64))
-#: Bits of a pair's key; words keep all 64.
+#: Bits of a pair's key at least, and those beyond what numbers all pairs: a pair shares
+#: its key with another one with a chance of 1e-6. Words keep all 64.
 _PAIR_BITS = 48
+_SPARE_BITS = 20
 _BUCKETS = 64
 
 
 class _Batch:
     """Tokens of a batch's texts: words and one end each, as places in sorted keys."""
 
-    def __init__(self, parts: list[pa.RecordBatch]) -> None:
+    def __init__(self, parts: list[pa.RecordBatch], pair_bits: int = _PAIR_BITS) -> None:
         tokens, counts = [], []
         for whole in parts:
             for batch in slices(whole, "text"):
@@ -54,7 +56,7 @@ class _Batch:
         context = np.empty_like(token)
         context[1:] = token[:-1]
         context[self.begin[:-1]] = _BEGIN
-        pair = mix64(context * _U(0xD6E8FEB86659FD93) + token) >> _U(64 - _PAIR_BITS)
+        pair = mix64(context * _U(0xD6E8FEB86659FD93) + token) >> _U(64 - pair_bits)
         self.words, self.word_at = np.unique(token, return_inverse=True)
         self.pairs, self.pair_at = np.unique(pair, return_inverse=True)
         self.first = np.zeros(len(token), dtype=bool)
@@ -69,7 +71,7 @@ class _Batch:
         """Per word and per pair: occurrences in kept (role 1) and deleted (2) texts."""
         role = np.repeat(role, self.n_tokens)
         return [
-            np.bincount(at[role == r], minlength=size).astype(np.uint32)
+            np.bincount(at[role == r], minlength=size)
             for at, size in ((self.word_at, len(self.words)), (self.pair_at, len(self.pairs)))
             for r in (1, 2)
         ]
@@ -83,18 +85,33 @@ def _cuts(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as 4-byte steps where they fit, which is nearly always for pairs."""
+    """Sorted keys as steps of 4 bytes, or of the fewest more that hold the largest."""
     steps = np.diff(keys, prepend=_U(0))
-    if len(keys) and steps[1:].max(initial=0) < 1 << 32:
-        return b"s" + keys[:1].tobytes() + steps[1:].astype(np.uint32).tobytes()
+    width = max(4, -(-int(steps[1:].max(initial=0)).bit_length() // 8))
+    if len(keys) and width < 8:
+        low = steps[1:].view(np.uint8).reshape(-1, 8)[:, :width]
+        return bytes([width]) + keys[:1].tobytes() + low.tobytes()
     return b"k" + keys.tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
     if data[:1] == b"k":
         return np.frombuffer(data[1:], dtype=np.uint64)
-    steps = np.frombuffer(data[9:], dtype=np.uint32).astype(np.uint64)
-    return np.cumsum(np.concatenate([np.frombuffer(data[1:9], dtype=np.uint64), steps]))
+    low = np.frombuffer(data[9:], dtype=np.uint8).reshape(-1, data[0])
+    steps = np.zeros((len(low), 8), dtype=np.uint8)
+    steps[:, : data[0]] = low
+    first = np.frombuffer(data[1:9], dtype=np.uint64)
+    return np.cumsum(np.concatenate([first, steps.reshape(-1).view(np.uint64)]))
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each, or in 8 where the largest needs them."""
+    wide = counts.max(initial=0) >= 1 << 32
+    return (b"8" if wide else b"4") + counts.astype(np.uint64 if wide else np.uint32).tobytes()
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64 if data[:1] == b"8" else np.uint32, offset=1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list]]:
@@ -125,13 +142,15 @@ _ANSWER = (
 )
 
 
-def _ask(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+def _ask(
+    batches: Iterator[pa.RecordBatch], ranges: int, pair_bits: int
+) -> Iterator[pa.RecordBatch]:
     for number, parts in _runs(batches, "batch"):
-        batch = _Batch(parts)
+        batch = _Batch(parts, pair_bits)
         role = np.concatenate([np.asarray(p.column("role")) for p in parts])
         counts = batch.counts(role)
         word_cuts = _cuts(batch.words, 64, ranges)
-        pair_cuts = _cuts(batch.pairs, _PAIR_BITS, ranges)
+        pair_cuts = _cuts(batch.pairs, pair_bits, ranges)
 
         def cut(values, cuts, r):
             return values[cuts[r] : cuts[r + 1]]
@@ -144,15 +163,15 @@ def _ask(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBa
         }
         for name, values in zip(_COUNTS, counts, strict=True):
             cuts = word_cuts if name.startswith("word") else pair_cuts
-            rows[name] = [cut(values, cuts, r).tobytes() for r in range(ranges)]
+            rows[name] = [_pack_counts(cut(values, cuts, r)) for r in range(ranges)]
         schema = pa.schema(
             [("batch", pa.int64()), ("range", pa.int32()), *((f, pa.binary()) for f in _FIELDS)]
         )
         yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
 
-def _numbers(column: pa.ChunkedArray, kind: type = np.uint32) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=kind) for x in column.to_pylist()]
+def _numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [_unpack_counts(x) for x in column.to_pylist()]
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +193,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # Sums of whole numbers in doubles are exact far beyond any count here.
                 added = np.bincount(at, weights=counts, minlength=len(distinct))
                 sums.append(added)
-                # A count beyond 32 bits is kept as the largest; its share is what matters.
-                answer = np.minimum(added, 2**32 - 1).astype(np.uint32)[at]
-                out[name] = [a.tobytes() for a in np.split(answer, cuts)]
+                answer = added.astype(np.uint64)[at]
+                out[name] = [_pack_counts(a) for a in np.split(answer, cuts)]
             totals.append(sums)
         kept, both = totals[0][0], totals[0][0] + totals[0][1]
         rows = len(out["batch"])
@@ -208,16 +226,16 @@ def _answered(parts: list[pa.RecordBatch]) -> tuple[list, list[np.ndarray]]:
         texts.append(p.filter(pa.array([r is None for r in ranges])))
         for i, r in enumerate(ranges):
             if r is not None:
-                answers[r] = [np.frombuffer(p.column(c)[i].as_py(), np.uint32) for c in _COUNTS]
+                answers[r] = [_unpack_counts(p.column(c)[i].as_py()) for c in _COUNTS]
     columns = zip(*(answers[r] for r in sorted(answers)), strict=True)
     return texts, [np.concatenate(c).astype(np.float64) for c in columns]
 
 
-def _held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held_out(batches: Iterator[pa.RecordBatch], pair_bits: int) -> Iterator[pa.RecordBatch]:
     """Occurrences in deleted texts by how often pair, context and word are kept."""
     for _, parts in _runs(batches, "batch"):
         texts, (word_kept, _, pair_kept, _) = _answered(parts)
-        batch = _Batch(texts)
+        batch = _Batch(texts, pair_bits)
         rows = np.stack(
             [pair_kept[batch.pair_at], word_kept[batch.context_at], word_kept[batch.word_at]],
             axis=1,
@@ -229,12 +247,14 @@ def _held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _score(batches: Iterator[pa.RecordBatch], totals: dict, mix: np.ndarray):
+def _score(
+    batches: Iterator[pa.RecordBatch], totals: dict, mix: np.ndarray, pair_bits: int
+):
     n, v = totals["n_all"], totals["v_all"]
     for _, parts in _runs(batches, "batch"):
         texts, (word_kept, word_deleted, pair_kept, pair_deleted) = _answered(parts)
         word, pair = word_kept + word_deleted, pair_kept + pair_deleted
-        batch = _Batch(texts)
+        batch = _Batch(texts, pair_bits)
         c, context = word[batch.word_at], word[batch.context_at]
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         weight = mix[_bucket(context)]
@@ -307,6 +327,12 @@ def learn_mixture(items: DataFrame, totals: dict, rounds: int = 40) -> np.ndarra
     return mix
 
 
+def pair_bits_for(size: int, rows: int) -> int:
+    """Bits of pair keys for `rows` texts of `size` bytes: a word takes two, each has an end."""
+    tokens = (size + rows) // 2 + rows
+    return min(64, max(_PAIR_BITS, tokens.bit_length() + _SPARE_BITS))
+
+
 def score_texts(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """`doc_id`, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`.
 
@@ -321,7 +347,9 @@ def score_texts(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     fold = remainder("doc_id", 10)
     role = F.when(fold > 1, 1).when(fold == 1, 2).otherwise(0).cast("int")
     known = in_small_batches(docs).select("doc_id", text.alias("text"), role.alias("role"))
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, rows = known.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    size = size or 0
+    pair_bits = pair_bits_for(size, rows)
     count = max(1, math.ceil(size / batch_bytes))
     ranges = max(1, math.ceil(count / BATCHES_PER_RANGE))
     # Deleted texts, a tenth, have batches of their own: the mixture needs only those.
@@ -334,7 +362,7 @@ def score_texts(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     asked = (
         placed.repartition(count, "batch")
         .sortWithinPartitions("batch")
-        .mapInArrow(lambda it: _ask(it, ranges), _REQUEST)
+        .mapInArrow(lambda it: _ask(it, ranges, pair_bits), _REQUEST)
     )
     answers = settle(
         asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_answer, _ANSWER)
@@ -354,11 +382,13 @@ def score_texts(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
         )
         return left.unionByName(right).repartition(count, "batch").sortWithinPartitions("batch")
 
-    items = meet(placed.where("role = 2"), answers.where(F.col("batch") >= count)).mapInArrow(_held_out, "pair long, context long, word long, n long")
+    items = meet(placed.where("role = 2"), answers.where(F.col("batch") >= count)).mapInArrow(
+        lambda it: _held_out(it, pair_bits), "pair long, context long, word long, n long"
+    )
     mix = learn_mixture(items, totals)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = meet(placed, answers).mapInArrow(
-        lambda it: _score(it, totals, mix),
+        lambda it: _score(it, totals, mix, pair_bits),
         f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.select(

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import interpolation
@@ -126,3 +127,38 @@ def test_nameless_repeated_and_no_rows(spark):
     assert [r.held_out for r in got if r.doc_id is None] == [False]
     assert {r.train_tokens for r in got} == {0 if brute.fold(2, 10) == 0 else 7}
     assert score_texts(brute.docs_of(spark, [])).collect() == []
+
+
+def test_counts_beyond_32_bits_are_answered_whole():
+    keys = interpolation._pack(np.array([3, 2**40], dtype=np.uint64))
+    many = interpolation._pack_counts(np.array([3 * 10**9, 1]))
+    row = [5, 0, keys, keys, many, many, many, many]
+    names = ["batch", "range", *interpolation._FIELDS]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([x, x], k) for x, k in zip(row, kinds, strict=True)], names
+    )
+    (answer,) = interpolation._answer(iter([batch]))
+    for name in interpolation._COUNTS:
+        got = interpolation._unpack_counts(answer.column(name)[0].as_py())
+        assert got.tolist() == [6 * 10**9, 2]
+    assert answer.column("n_kept")[0].as_py() == 6 * 10**9 + 2
+    assert interpolation._pack_counts(np.array([7]))[:1] == b"4"
+
+
+@pytest.mark.parametrize("top", [2**36, 2**44, 2**52, 2**62])
+def test_wide_steps_survive_packing(top):
+    keys = np.unique(np.random.default_rng(1).integers(0, top, 9).astype(np.uint64))
+    assert (interpolation._unpack(interpolation._pack(keys)) == keys).all()
+
+
+def test_pair_keys_widen_with_the_corpus(spark, monkeypatch):
+    assert interpolation.pair_bits_for(5 * 10**8, 10**5) == 48
+    for size in (3 * 10**10, 10**13):
+        tokens = size // 2
+        assert tokens / 2 ** interpolation.pair_bits_for(size, size // 5_000) <= 1e-6
+    docs = brute.docs_of(spark, corpus())
+    narrow = {r.doc_id: r.score for r in score_texts(docs).collect()}
+    monkeypatch.setattr(interpolation, "_SPARE_BITS", 60)
+    wide = {r.doc_id: r.score for r in score_texts(docs, batch_bytes=2_000).collect()}
+    assert wide == pytest.approx(narrow, rel=1e-9)
