@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,21 @@ def plan_tables(rows: int, threshold: float, miss: float, bucket: int = 256) ->
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
 
 
-def _signatures(batches, dim: int, bits: int, tables: int):
-    planes = np.random.default_rng(_SEED).standard_normal((dim, tables * bits))
+def _signatures(batches, bits: int, tables: int):
     weights = 1 << np.arange(bits, dtype=np.int64)
+
+    @lru_cache(maxsize=8)
+    def planes(dim: int) -> np.ndarray:
+        return np.random.default_rng(_SEED).standard_normal((dim, tables * bits))
+
     for batch in batches:
-        vectors = _matrix(batch.column("unit"), dim)
-        signs = (vectors @ planes >= 0).reshape(len(vectors), tables, bits)
-        codes = signs @ weights
+        dims = np.asarray(batch.column("dim"))
+        codes = np.zeros((len(dims), tables), dtype=np.int64)
+        for dim in np.unique(dims).tolist():
+            rows = np.flatnonzero(dims == dim)
+            vectors = _matrix(batch.column("unit").take(pa.array(rows)), dim)
+            signs = (vectors @ planes(dim) >= 0).reshape(len(vectors), tables, bits)
+            codes[rows] = signs @ weights
         out = pa.array(list(codes), type=pa.list_(pa.int64()))
         yield batch.append_column("codes", out)
 
@@ -84,13 +93,14 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
             yield x, y
 
 
-def _compare(batches, dim: int, tables: int, threshold: float):
+def _compare(batches, tables: int, threshold: float):
     """Links of each block pair: per vector the rows linked to it, and a forest of links.
 
     A pair that shares buckets of several tables counts in the first of them only.
     """
-    for group in _groups(batches, ["label", "table", "code", "left", "right"]):
+    for group in _groups(batches, ["dim", "label", "table", "code", "left", "right"]):
         group = group.combine_chunks()
+        dim = group["dim"][0].as_py()
         table = group["table"][0].as_py()
         ids = np.asarray(group["vec_id"])
         part = np.asarray(group["part"])
@@ -146,14 +156,14 @@ def link_vectors(
 ) -> DataFrame:
     """`vec_id`, `n_links`, `component_id`, `kept` of every row of `vectors`.
 
-    Vectors of one label are linked when their cosine, in double precision, is at least
+    Vectors of one label and length are linked when their cosine, in double precision, is at least
     `threshold`. Equal vectors are compared once, with their number. Vectors that share
     all sign bits of a table meet in a bucket; there every pair is checked exactly, in
     pairs of blocks if the bucket is large, so only links between vectors that share no
     bucket are lost, at most `miss` of those at the threshold. A vector that is null or
     zero, or has a null or non-finite component, and one without a label, link with
     nothing, as does a row with a null `vec_id` (its component is null; it is kept).
-    Vectors of another length than most link with nothing. Repeated ids count as rows.
+    Only vectors of one length are compared. Repeated ids count as rows.
     """
     raw = F.transform("embedding", lambda x: x.cast("double"))
     # Scaled by the largest component first, so that no square overflows or vanishes.
@@ -176,34 +186,30 @@ def link_vectors(
         "vec_id", "label", "scaled", F.transform("scaled", lambda x: x / norm).alias("unit")
     )
     good = settle(good.withColumn("same", F.xxhash64("label", "scaled")))
-    sizes = good.groupBy(F.size("unit").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    spark = vectors.sparkSession
-    if sizes is None:
+    if not good.limit(1).count():
         return base.select(
             "vec_id",
             F.lit(0).cast("long").alias("n_links"),
             F.col("vec_id").alias("component_id"),
             F.lit(True).alias("kept"),
         )
-    dim = int(sizes["d"])
-    good = good.where(F.size("unit") == dim)
     # Equal vectors: one stands for all, with their number.
     stands = good.groupBy("label", "scaled").agg(
         F.min("vec_id").alias("stand"), F.count(F.lit(1)).alias("copies"),
         F.first("unit").alias("unit"), F.first("same").alias("same"),
     )
     stands = settle(stands)
-    most = stands.groupBy("label").count().agg(F.max("count")).first()[0]
+    most = stands.groupBy("label", F.size("unit")).count().agg(F.max("count")).first()[0]
     bits, tables = plan_tables(most, threshold, miss)
-    coded_schema = "vec_id long, label int, copies long, unit array<double>, codes array<long>"
+    coded_schema = "vec_id long, label int, dim int, copies long, unit array<double>, codes array<long>"
     coded = settle(
         stands.select(
             F.col("stand").alias("vec_id"), F.col("label").cast("int").alias("label"),
-            "copies", "unit",
-        ).mapInArrow(lambda it: _signatures(it, dim, bits, tables), coded_schema)
+            F.size("unit").alias("dim"), "copies", "unit",
+        ).mapInArrow(lambda it: _signatures(it, bits, tables), coded_schema)
     )
     opened = coded.select("*", F.posexplode("codes").alias("table", "code"))
-    bucket = ["label", "table", "code"]
+    bucket = ["dim", "label", "table", "code"]
     held = opened.groupBy(*bucket).count().where("count > 1")
     parts = F.ceil(F.col("count") / block).cast("int")
     placed = opened.join(held, bucket).select(
@@ -223,7 +229,7 @@ def link_vectors(
     found = settle(
         spread.repartition(*key)
         .sortWithinPartitions(*key)
-        .mapInArrow(lambda it: _compare(it, dim, tables, threshold), "a long, n long, b long")
+        .mapInArrow(lambda it: _compare(it, tables, threshold), "a long, n long, b long")
     )
     counts = found.where("b is null").groupBy(F.col("a").alias("stand")).agg(
         F.sum("n").alias("n")

@@ -93,3 +93,13 @@ def test_tables_reach_the_wanted_recall():
         bits, tables = plan_tables(rows, 0.93, 1e-4)
         agree = (1 - np.arccos(0.93) / np.pi) ** bits
         assert (1 - agree) ** tables <= 1e-4
+
+
+def test_every_length_is_compared(spark):
+    rows = clusters()
+    short = [(1_000 + i, v[:5], p) for i, v, p in rows[:40]]
+    both = {r.vec_id: tuple(r) for r in link_vectors(table(spark, [*rows, *short])).collect()}
+    alone = [*link_vectors(table(spark, rows)).collect(), *link_vectors(table(spark, short)).collect()]
+    assert both == {r.vec_id: tuple(r) for r in alone}
+    count, _ = expected(short)
+    assert {i: both[i][1] for i in count} == count and max(count.values()) > 0
