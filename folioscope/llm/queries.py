@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from folioscope.cluster import new_run_dir
 
+from folioscope.llm import oracles
+from folioscope.llm.dialogue_repair import damage, repair
 from folioscope.llm.embedding_lsh import link_vectors
 from folioscope.llm.host_rules import judge
 from folioscope.llm.interpolation import score_texts
@@ -95,6 +97,10 @@ def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_near_duplicates": op2_near_duplicates,
@@ -106,5 +112,6 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_interpolation": op10_interpolation,
+    "op11_dialogue_repair": op11_dialogue_repair,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_dialogue_repair": oracles.DIALOGUE_REPAIR}
