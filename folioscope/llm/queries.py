@@ -21,6 +21,7 @@ from folioscope.llm.nearest_vote import learn, remainder, score
 from folioscope.llm.pii_tagger import KINDS, count_kind, find_spans, learn_tagger
 from folioscope.llm.sentencepiece_dropout import decode, encode
 from folioscope.llm.sharding import assign_shards
+from folioscope.llm.spelling_groups import group_spellings
 from folioscope.llm.token_counts import RankTokenizer, count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +102,10 @@ def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(_table(spark, sf_dir, "conversations")))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_near_duplicates": op2_near_duplicates,
@@ -113,5 +118,6 @@ QUERIES: dict[str, Query] = {
     "op9_pii": op9_pii,
     "op10_interpolation": op10_interpolation,
     "op11_dialogue_repair": op11_dialogue_repair,
+    "op13_spelling": op13_spelling,
 }
 ORACLE: dict[str, str] = {"op11_dialogue_repair": oracles.DIALOGUE_REPAIR}
