@@ -23,6 +23,7 @@ from folioscope.llm.sentencepiece_dropout import decode, encode
 from folioscope.llm.sharding import assign_shards
 from folioscope.llm.spelling_groups import group_spellings
 from folioscope.llm.token_counts import RankTokenizer, count_tokens
+from folioscope.llm.toxic_grammar import FOLDS, HELD_OUT, learn_grammar, weigh
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +103,18 @@ def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(_table(spark, sf_dir, "conversations")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = weigh(docs, learn_grammar(docs, _table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "clauses",
+    )
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(_table(spark, sf_dir, "documents"))
 
@@ -118,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii": op9_pii,
     "op10_interpolation": op10_interpolation,
     "op11_dialogue_repair": op11_dialogue_repair,
+    "op12_toxicity": op12_toxicity,
     "op13_spelling": op13_spelling,
 }
 ORACLE: dict[str, str] = {"op11_dialogue_repair": oracles.DIALOGUE_REPAIR}
