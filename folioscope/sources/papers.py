@@ -34,6 +34,33 @@ def newest(papers: DataFrame, limit: int = NEWEST_LIMIT) -> DataFrame:
     return papers.orderBy(*newest_first()).limit(limit)
 
 
+def newest_dated(
+    spark: SparkSession, path: str, limit: int = NEWEST_LIMIT, date_column: str = "date"
+) -> DataFrame:
+    """`newest` of a table in folders by the UTC date of `published`, reading few of them.
+
+    Folders are counted from the newest back, in steps that double, until `limit` rows
+    are safe: no older folder can hold one of them, and ties lie within the last one.
+    Only those folders are read then. Papers without a date are read only when all the
+    others are too few.
+    """
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = files.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [status.getPath().getName() for status in listed]
+    dates = sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{date_column}="))[::-1]
+    dates = [d for d in dates if d[:1].isdigit()]
+    papers = spark.read.option("basePath", path)
+    taken, rows, step = 0, 0, 1
+    while rows < limit and taken < len(dates):
+        more = dates[taken : taken + step]
+        rows += papers.parquet(*(f"{path}/{date_column}={d}" for d in more)).count()
+        taken, step = taken + len(more), 2 * step
+    if rows < limit:
+        return newest(spark.read.parquet(path), limit)
+    return newest(papers.parquet(*(f"{path}/{date_column}={d}" for d in dates[:taken])), limit)
+
+
 def within_days(
     papers: DataFrame, as_of: datetime, days: int, date_partition: str | None = None
 ) -> DataFrame:

@@ -5,10 +5,18 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from tests.conftest import rows
+from tests.conftest import plan_of, rows
 
 from folioscope.operators.counts import run_counts, split_failed, with_route
-from folioscope.operators.ranking import number_top_k, rank_all, running_best, top_k, with_texts
+from folioscope.operators.ranking import (
+    number_all,
+    number_top_k,
+    rank_all,
+    running_best,
+    running_top_k,
+    top_k,
+    with_texts,
+)
 
 
 def scored(spark, n=300, seed=5, groups=("a", "a", "a", "b", "c")):
@@ -105,3 +113,41 @@ def test_good_and_failed_rows_are_the_input(spark):
         "2": "quarantine",
         "3": "quarantine",
     }
+
+
+def test_all_ranks_are_dense(spark):
+    data, df = scored(spark)
+    numbered = number_all(df)
+    assert "SinglePartition" not in plan_of(numbered)
+    assert [r["id"] for r in sorted(numbered.collect(), key=lambda r: r["rank"])] == [r[0] for r in in_order(data)]
+    assert sorted(r["rank"] for r in numbered.collect()) == list(range(1, 301))
+    assert number_all(df.where("false")).count() == 0
+    twice = [r["rank"] for r in number_all(df.union(df)).collect()]
+    assert sorted(twice) == list(range(1, 601))
+
+
+@pytest.mark.parametrize("k", [1, 3, 400])
+def test_running_top_k_matches_brute_force(spark, k):
+    data, df = scored(spark)
+    data = [(i, None if g == "b" else g, None if int(i) % 7 == 0 else t, s) for i, g, t, s in data]
+    df = spark.createDataFrame(data, "id STRING, source STRING, published TIMESTAMP, final_score DOUBLE")
+    seen, expected = {}, {}
+    early = datetime(1, 1, 1)
+    for row in sorted(data, key=lambda r: (r[2] is not None, r[2] or early, r[0])):
+        own = seen.setdefault(row[1], [])
+        own.append(row)
+        best = sorted(own, key=lambda r: (-(r[3] or 0.0), r[2] is None, -(r[2] or early).timestamp() if r[2] else 0, r[0]))
+        expected[row[0]] = [r[0] for r in best[:k]]
+    found = running_top_k(df.repartition(6), "source", k)
+    assert found.columns == [*df.columns, "best_ids"]
+    assert {r["id"]: list(r["best_ids"]) for r in found.collect()} == expected
+
+
+def test_running_top_k_of_one_hot_group(spark):
+    """One group at one time over several slots; an empty table."""
+    data = [(f"{i:03}", "a", datetime(2024, 1, 1), float(i * 37 % 101)) for i in range(101)]
+    df = spark.createDataFrame(data, "id STRING, source STRING, published TIMESTAMP, final_score DOUBLE")
+    got = {r["id"]: list(r["best_ids"]) for r in running_top_k(df, "source", 2).collect()}
+    for i in range(101):
+        assert got[f"{i:03}"] == [r[0] for r in sorted(data[: i + 1], key=lambda r: -r[3])[:2]]
+    assert running_top_k(df.where("false"), "source", 2).count() == 0
