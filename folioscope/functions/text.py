@@ -19,6 +19,7 @@ HIDDEN_MARKUP = (
 )
 TAG = r"(?s)<[^>]*>"
 _ARTICLE_TAG = r"(?i)(?=</?article\b)"
+_ONE_ARTICLE = r"(?is)<article\b.*?(?=</article\b|\z)"
 _REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
@@ -66,20 +67,26 @@ def decode_references(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
-def _visible(html: Column) -> Column:
+def visible(html: Column) -> Column:
+    """Markup without scripts, styles and comments."""
     return F.regexp_replace(html, HIDDEN_MARKUP, " ")
 
 
-def markup_to_text(html: Column) -> Column:
-    plain = decode_references(F.regexp_replace(_visible(html), TAG, " "))
+def text_of_visible(shown: Column) -> Column:
+    plain = decode_references(F.regexp_replace(shown, TAG, " "))
     return F.trim(F.regexp_replace(plain, r"[\s\x{A0}]+", " "))
 
 
-def article_of(html: Column) -> Column:
+def markup_to_text(html: Column) -> Column:
+    return text_of_visible(visible(html))
+
+
+def article_of_visible(shown: Column) -> Column:
     """Markup inside all article elements, nested ones once; empty when there is none.
 
-    The page is cut before every article tag. A piece is inside while more articles
-    were opened than closed; an article that is never closed runs to the end.
+    A page with one opening tag is cut there and at the next closing one, or at its end.
+    Others are cut before every article tag: a piece is inside while more articles were
+    opened than closed.
     """
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
 
@@ -95,8 +102,14 @@ def article_of(html: Column) -> Column:
         )
         return F.struct(depth.alias("depth"), kept.alias("kept"))
 
-    pieces = F.split(_visible(html), _ARTICLE_TAG)
-    return F.aggregate(pieces, start, step, lambda s: F.array_join(s["kept"], " "))
+    pieces = F.split(shown, _ARTICLE_TAG)
+    every = F.aggregate(pieces, start, step, lambda s: F.array_join(s["kept"], " "))
+    opened = F.regexp_count(shown, F.lit(r"(?i)<article\b"))
+    return F.when(opened > 1, every).otherwise(F.regexp_extract(shown, _ONE_ARTICLE, 0))
+
+
+def article_of(html: Column) -> Column:
+    return article_of_visible(visible(html))
 
 
 def split_list(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,29 @@ def run_counts(
     )
 
 
+def observe_rows(df: DataFrame, seen: Observation, where: Column | None = None) -> DataFrame:
+    """`df`, whose next job also counts its rows, or those of `where`, into `seen`.
+
+    The count is made where the rows pass, so it costs no scan. Filters above it are not
+    pushed below it: put it after those that prune the scan.
+    """
+    counted = F.count(F.lit(1)) if where is None else F.count_if(where)
+    return df.observe(seen, counted.alias("rows"))
+
+
+def observed_counts(
+    fetched: Observation, relevant: Observation, analysed: Observation, top_k: int | None = None
+) -> dict[str, int]:
+    """The counts of `run_counts` from the run's own jobs, which have ended by now."""
+    done = analysed.get["rows"]
+    return {
+        "fetched": fetched.get["rows"],
+        "total": relevant.get["rows"],
+        "analysed": done,
+        "exported": done if top_k is None else min(done, top_k),
+    }
+
+
 def split_failed(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """(good rows, failed rows); together they are the input."""
     failed = F.col(error).isNotNull()

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.fixed_values import FULL_TEXT_CHARS
-from folioscope.functions.text import article_of, head_chars, markup_to_text
+from folioscope.functions.text import article_of_visible, head_chars, text_of_visible, visible
 
 _PAGES_PER_PART = 1_024
 
@@ -24,14 +23,17 @@ def extract_text(
     The structured tier fails where there is no article, its text is empty, or `failed`
     holds (for extractors that report a failure of their own).
     """
-    article = markup_to_text(article_of(F.col(html))) if structured else F.lit(None)
+    shown = F.col("_visible")
+    article = text_of_visible(article_of_visible(shown)) if structured else F.lit(None)
     if failed is not None:
         article = F.when(~F.coalesce(failed, F.lit(False)), article)
-    tiers = pages.withColumn("_article", article.cast("string"))
+    # Used by both tiers, so the planner keeps this column as one of its own.
+    tiers = pages.withColumn("_visible", visible(F.col(html)))
+    tiers = tiers.withColumn("_article", article.cast("string"))
     good = F.coalesce(F.col("_article") != "", F.lit(False))
     tiers = tiers.withColumn(
         "_text",
-        F.when(good, F.col("_article")).otherwise(markup_to_text(F.col(html))),
+        F.when(good, F.col("_article")).otherwise(text_of_visible(shown)),
     )
     found = F.coalesce(F.col("_text") != "", F.lit(False))
     return tiers.select(
@@ -72,14 +74,18 @@ def page_parts(
 
 
 def full_text_of_parts(
-    parts: DataFrame, doc: str, max_chars: int = FULL_TEXT_CHARS
+    parts: DataFrame, doc: str, max_chars: int | None = None
 ) -> DataFrame:
-    """`n_pages` and the first `max_chars` characters of each document from its parts.
+    """`n_pages` and the text of each document from its parts, or its first `max_chars`.
 
-    Exact: parts are shortened to the limit, and only those that start up to it are
-    gathered (one that starts at the limit still gives its line break). Each part but
-    the first adds a line break, so at most `max_chars` + 1 of them can be needed.
+    Without a limit a document is one cell, whatever its length. With one, parts are
+    shortened to it, and only those that start up to it are gathered (one that starts at
+    the limit still gives its line break). Each part but the first adds a line break, so
+    at most `max_chars` + 1 of them can be needed.
     """
+    if max_chars is None:
+        whole = F.array_join(F.sort_array(F.collect_list(F.struct("part", "text")))["text"], "\n")
+        return parts.groupBy(doc).agg(F.sum("n_pages").alias("n_pages"), whole.alias("full_text"))
     order = W.partitionBy(doc).orderBy("part")
     before = F.sum(F.length("text") + 1).over(
         order.rowsBetween(W.unboundedPreceding, -1)
@@ -101,10 +107,13 @@ def concat_pages(
     doc: str,
     page_no: str,
     text: str,
-    max_chars: int = FULL_TEXT_CHARS,
+    max_chars: int | None = None,
     pages_per_part: int = _PAGES_PER_PART,
 ) -> DataFrame:
-    """One row per document: `n_pages` and its pages in order as `full_text`."""
+    """One row per document: `n_pages` and its pages in order as `full_text`.
+
+    Users know a limit of 12,000 characters (`FULL_TEXT_CHARS`); give it as `max_chars`.
+    """
     parts = page_parts(pages, doc, page_no, text, pages_per_part, max_chars)
     return full_text_of_parts(parts, doc, max_chars)
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folioscope.cluster import broadcast_if_small, new_run_dir, settle
@@ -16,7 +16,7 @@ from folioscope.functions.prompts import TEMPLATES, render, render_by_name, temp
 from folioscope.functions.responses import accept_insight, parse_insight
 from folioscope.functions.scoring import BonusRules, final_score, insight_bonus
 from folioscope.operators.authors import enrich_with_authors
-from folioscope.operators.counts import split_failed
+from folioscope.operators.counts import observe_rows, observed_counts, split_failed
 from folioscope.operators.evaluations import evaluation_key
 from folioscope.operators.extraction import parse_outcome
 from folioscope.operators.filters import filter_papers, head_cap
@@ -63,10 +63,15 @@ class AnalysisConfig:
     waves: int = 8
 
 
-def select_candidates(papers: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+def select_candidates(
+    papers: DataFrame, cfg: AnalysisConfig, fetched: Observation | None = None
+) -> DataFrame:
+    """What the search finds, filtered and capped; `fetched` observes what it found."""
     found = search(
         papers, cfg.keywords, cfg.categories, cfg.as_of, cfg.days, cfg.newest_limit
     )
+    if fetched is not None:
+        found = observe_rows(found, fetched)
     return head_cap(filter_papers(found, cfg.keywords, cfg.exclusions), cfg.max_papers)
 
 
@@ -108,12 +113,15 @@ class Analysis:
     `scored`: the papers to rank, all of them rated. `failed`: the papers with an
     `error` (no text, a model failure, an unreadable rating), which no ranking holds.
     `patch`: the evaluation fields to keep, rows of this run only; merge them with
-    `upsert`, or append them to a log that `fold_patches` reads.
+    `upsert`, or append them to a log that `fold_patches` reads. `counts`: papers that
+    the search fetched, that are relevant (after the cap) and that were analysed, and how
+    many the `top_k` best export.
     """
 
     scored: DataFrame
     failed: DataFrame
     patch: DataFrame
+    counts: Mapping[str, int]
 
 
 def analyse(
@@ -134,15 +142,20 @@ def analyse(
     Answers are kept under `run_dir` as they come: a run that broke and is started again
     with the same folder asks for nothing it has an answer to.
 
-    Texts move once: those of the papers with a task to do are dealt by id over
-    `parallelism` partitions, joined there and turned into prompts. Of the store, only
-    the rows of the candidates are read into the run, and none are rewritten.
+    Texts are scanned once: those of the papers with a task to do are written by wave,
+    and each wave deals its own by id over `parallelism` partitions, where they become
+    prompts. Of the store, only the rows of the candidates are read into the run, and none
+    are rewritten.
+
+    What was fetched, relevant and analysed is counted by observing the jobs that write
+    these rows anyway (`Analysis.counts`).
     """
     spark = papers.sparkSession
     folder = run_dir or new_run_dir(spark, "analysis")
     key = evaluation_key(F.col("id"), cfg.model, cfg.prompt_version)
     detected = language_of("summary", cfg)
-    chosen = select_candidates(papers, cfg)
+    fetched, relevant, analysed = Observation(), Observation(), Observation()
+    chosen = observe_rows(select_candidates(papers, cfg, fetched), relevant)
     candidates = settle(chosen.withColumn("paper_id", key).withColumn("detected", detected))
     wanted = broadcast_if_small(candidates.select("paper_id"))
     known = settle(
@@ -187,7 +200,7 @@ def analyse(
         "parse_status",
         F.when(error != "", error).alias("error"),
     )
-    rated = settle(add_scores(rated, cfg.rules))
+    rated = settle(observe_rows(add_scores(rated, cfg.rules), analysed, F.col("error").isNull()))
     good, failed = split_failed(rated)
     enriched = enrich_with_authors(
         good, profiles or {}, cfg.author_sources, cfg.author_info
@@ -196,7 +209,8 @@ def analyse(
     patch = answers.where(fresh.isNotNull()).select(
         "paper_id", *[F.col(f"n_{f}").alias(f) for f in EVALUATION_FIELDS]
     )
-    return Analysis(enriched, failed, settle(patch))
+    counts = observed_counts(fetched, relevant, analysed, cfg.top_k)
+    return Analysis(enriched, failed, settle(patch), counts)
 
 
 def _head(column: str, *limits: int | None) -> Column:
@@ -235,29 +249,34 @@ def _ask(
     have = known.select(
         "paper_id", *[F.col(TASK_FIELD[t]).isNotNull().alias(f"has_{t}") for t in tasks]
     )
-    for wave in range(cfg.waves):
-        kept = answered(spark, path).where("error is null").groupBy("paper_id").agg(
-            *[F.max(F.col("task") == t).alias(f"kept_{t}") for t in tasks]
-        )
-        needs = [
-            F.when(~F.coalesce(f"has_{t}", F.lit(False)) & ~F.coalesce(f"kept_{t}", F.lit(False)), t)
-            for t in tasks
-        ]
-        todo = settle(
-            readable.where(F.col("parse_error").isNull())
-            .where(F.pmod(F.xxhash64("id"), F.lit(cfg.waves)) == wave)
-            .join(have, "paper_id", "left")
-            .join(kept, "paper_id", "left")
-            .withColumn("tasks", F.array_compact(F.array(*needs)))
-            .where(F.size("tasks") > 0)
-            .select("id", "paper_id", "summary", "detected", "tasks")
-        )
-        some = broadcast_if_small(todo.select("id"))
-        bodies = texts.select("id", "full_text").join(some, "id", "left_semi")
-        dealt = bodies.repartition(cfg.parallelism, "id").join(todo.hint("merge"), "id")
-        built = _prompts(cfg)
-        prompt = F.coalesce(*[F.when(F.col("task") == t, built[t]) for t in tasks])
-        asked = dealt.withColumn("task", F.explode("tasks")).select("paper_id", "task", prompt.alias("prompt"))
+    kept = answered(spark, path).where("error is null").groupBy("paper_id").agg(
+        *[F.max(F.col("task") == t).alias(f"kept_{t}") for t in tasks]
+    )
+    needs = [
+        F.when(~F.coalesce(f"has_{t}", F.lit(False)) & ~F.coalesce(f"kept_{t}", F.lit(False)), t)
+        for t in tasks
+    ]
+    todo = settle(
+        readable.where(F.col("parse_error").isNull())
+        .join(have, "paper_id", "left")
+        .join(kept, "paper_id", "left")
+        .withColumn("tasks", F.array_compact(F.array(*needs)))
+        .where(F.size("tasks") > 0)
+        .select("id", "paper_id", "summary", "detected", "tasks")
+    )
+    # All texts are scanned once: the wanted ones go to a folder for each wave. A wave
+    # deals its own to the partitions that call the models.
+    wave = F.pmod(F.xxhash64("id"), F.lit(cfg.waves)).cast("int")
+    bodies = texts.select("id", "full_text").join(broadcast_if_small(todo), "id")
+    bodies = bodies.withColumn("wave", wave)
+    placed = new_run_dir(spark, "wanted")
+    bodies.write.partitionBy("wave").parquet(placed)
+    wanted = spark.read.schema(bodies.schema).parquet(placed)
+    built = _prompts(cfg)
+    prompt = F.coalesce(*[F.when(F.col("task") == t, built[t]) for t in tasks])
+    for number in range(cfg.waves):
+        own = wanted.where(F.col("wave") == number).repartition(cfg.parallelism, "id")
+        asked = own.withColumn("task", F.explode("tasks")).select("paper_id", "task", prompt.alias("prompt"))
         infer_dealt(asked, models).write.mode("append").parquet(path)
 
 

@@ -91,10 +91,9 @@ def truncate(spark, sf_dir):
 
 @query(
     "concat_pages",
-    f"""
+    """
     SELECT conv_id, count(*) AS n_pages,
-           substr(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text), 1, {FULL_TEXT_CHARS})
-             AS full_text
+           string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS full_text
     FROM conversations GROUP BY conv_id""",
 )
 def concat(spark, sf_dir):

@@ -196,6 +196,28 @@ def test_a_broken_run_goes_on_where_it_was(spark, inputs, tmp_path):
     assert {r["id"] for r in run.scored.collect()} == {"1", "3"}
 
 
+def test_texts_are_scanned_once_and_rows_counted_by_the_run(spark, inputs, tmp_path):
+    """Eight waves read the texts in one job; the counts come from the jobs that run anyway."""
+    papers, texts, store = inputs
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = texts.mapInArrow(count, texts.schema)
+    run = ask(papers, watched, store, models(tmp_path / "calls"), config(waves=8))
+    # Once for the outcome of parsing, once for the wanted texts.
+    assert seen.value == 2 * texts.count()
+    again = ask(papers, texts, store, models(tmp_path / "more"), config(top_k=1))
+    scored, failed = again.scored.count(), again.failed.count()
+    assert dict(again.counts) == {
+        "fetched": run.counts["fetched"], "total": scored + failed, "analysed": scored, "exported": 1,
+    }
+    assert run.counts["fetched"] >= run.counts["total"] > run.counts["analysed"] > 1
+
+
 def test_calls_spread_over_the_stated_partitions(spark, inputs, monkeypatch):
     papers, texts, store = inputs
     plans = []

@@ -78,7 +78,7 @@ def test_parts_hold_whole_documents(spark, per_part):
         assert "\n".join(t for _, t in sorted(pieces)) == whole(data, doc)
 
 
-@pytest.mark.parametrize("limit", [1, 2, 5, 17, 60, 10_000])
+@pytest.mark.parametrize("limit", [None, 1, 2, 5, 17, 60, 10_000])
 def test_full_text_is_the_head_of_the_document(spark, limit):
     data = page_rows()
     df = spark.createDataFrame(data, "doc STRING, page INT, text STRING")
@@ -90,7 +90,7 @@ def test_full_text_is_the_head_of_the_document(spark, limit):
 def test_one_row_for_a_document_of_many_and_repeated_pages(spark):
     data = [("long", n // 2, f"p{n}") for n in range(5_000)] + [("short", 7, None)]
     df = spark.createDataFrame(data, "doc STRING, page INT, text STRING").repartition(4)
-    got = {r["doc"]: r for r in concat_pages(df, "doc", "page", "text", 10**6).collect()}
+    got = {r["doc"]: r for r in concat_pages(df, "doc", "page", "text").collect()}
     lines = [t for _, _, t in sorted(data[:5_000], key=lambda r: (r[1], r[2]))]
     assert got["long"]["full_text"] == "\n".join(lines) and got["long"]["n_pages"] == 5_000
     assert (got["short"]["full_text"], got["short"]["n_pages"]) == ("", 1)

@@ -38,10 +38,14 @@ def test_nothing_but_top_k_and_totals_runs_in_one_task(plans):
             assert "SinglePartition" not in plan, name
 
 
-def test_only_inference_runs_in_python(plans):
+#: Model calls, and what is run over texts and rows in Arrow batches.
+PYTHON = {"batch_infer", "evaluate_papers", "keyword_table", "language_profiles", "running_topk"}
+
+
+def test_only_inference_and_scans_run_in_python(plans):
     for name, plan in plans.items():
         python = re.search(r"InPandas|PythonUDF|EvalPython|InArrow", plan) is not None
-        assert python == (name in {"batch_infer", "evaluate_papers"}), name
+        assert python == (name in PYTHON), name
 
 
 def test_limits_are_heaps_not_sorts(plans):
