@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,14 +47,42 @@ def _encoding(tokenizer: RankTokenizer):
     )
 
 
+#: White space of the pattern, in runs that its look-ahead could not take back.
+_LONG_SPACE = re.compile(
+    "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}"
+)
+
+
+def tokens_of(text: str, encoding, special: tuple[str, ...]) -> int:
+    """Number of tokens of a text of any kind.
+
+    The pattern takes a run of white space but for its last character, unless the text
+    ends there or at a special token. Long runs are cut off so and encoded as they are,
+    since the pattern's engine runs out of stack on some hundred thousand characters.
+    """
+    if not _LONG_SPACE.search(text):
+        return len(encoding.encode(text, allowed_special="all"))
+    total = 0
+    for part in re.split("(" + "|".join(map(re.escape, special)) + ")", text) if special else [text]:
+        if part in special:
+            total += 1
+            continue
+        at = 0
+        for run in _LONG_SPACE.finditer(part):
+            end = run.end() if run.end() == len(part) else run.end() - 1
+            total += len(encoding.encode_ordinary(part[at : run.start()]))
+            total += len(encoding._encode_single_piece(part[run.start() : end]))
+            at = end
+        total += len(encoding.encode_ordinary(part[at:]))
+    return total
+
+
 def _count(batches: Iterator[pa.RecordBatch], tokenizer: RankTokenizer):
     encoding = _encoding(tokenizer)
+    special = tuple(name for name, _ in tokenizer.special)
     for whole in batches:
         for batch in slices(whole, "text"):
-            counts = [
-                len(encoding.encode(text, allowed_special="all"))
-                for text in batch.column("text").to_pylist()
-            ]
+            counts = [tokens_of(t, encoding, special) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"]
             )

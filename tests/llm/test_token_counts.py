@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from folioscope.llm import token_counts
 from folioscope.llm.token_counts import RankTokenizer, count_tokens
 
 from . import brute
@@ -31,6 +34,24 @@ def test_equals_the_library(spark, tmp_path, library):
         assert r.over_limit == (r.n_tokens > 512)
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", " \n", "\u3000", "7", "x", "-"])
+def test_runs_of_two_megabytes(library, unit):
+    """One text never ends the job; runs at the start, inside, before a special token, at the end."""
+    encoding = token_counts._encoding(RANKS)
+    run = unit * (2_000_000 // len(unit) // len(unit.encode()))
+    for text in (run + "a", "a" + run, f"a{run}b", run + "<|endoftext|>" + run[:9_000] + "é"):
+        assert token_counts.tokens_of(text, encoding, ("<|endoftext|>",)) == library(text)
+
+
+def test_runs_of_white_space_by_chance(library):
+    r = random.Random(6)
+    encoding = token_counts._encoding(RANKS)
+    for _ in range(60):
+        pieces = ["ab", "<|endoftext|>", " ", "\n", " \t" * 2_100, "\n" * 4_200, " " * 5_000, "1", "\x1c"]
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(1, 9)))
+        assert token_counts.tokens_of(text, encoding, ("<|endoftext|>",)) == library(text), text[:50]
+
+
 def test_only_distinct_misses_are_encoded(spark, tmp_path):
     path = str(tmp_path / "cache")
     count_tokens(brute.docs_of(spark, ["a", "b", "b"]), RANKS, path).collect()
