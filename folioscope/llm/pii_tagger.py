@@ -18,8 +18,11 @@ from folioscope.llm.text_arrays import in_small_batches, slices
 #: Kinds of spans, in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An address is found from its at sign: what may stand before it, and the domain after.
+_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# Groups of digits joined by dots, as long as they go; an address is four of them.
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Every span of these kinds holds a digit or an at sign.
@@ -47,15 +50,49 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping addresses, each character looked at a few times at most.
+
+    Any match runs from the start of the characters before its at sign, or the end of
+    the last match; so there is one place to try for each at sign.
+    """
+    if "@" not in text:
+        return
+    last = 0
+    for m in _BEFORE.finditer(text):
+        start, at = max(m.start(), last), m.end()
+        if start < at and text.startswith("@", at):
+            domain = _DOMAIN.match(text, at + 1)
+            if domain:
+                last = domain.end()
+                yield start, last
+
+
+def _dotted_quads(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping runs of four groups of digits with single dots between."""
+    if "." not in text:
+        return
+    for m in _DOTTED.finditer(text):
+        groups = m.group().split(".")
+        at = m.start()
+        for k in range(0, len(groups) - 3, 4):
+            size = sum(map(len, groups[k : k + 4])) + 3
+            yield at, at + size
+            at += size + 1
+
+
+def _small_parts(quad: str) -> bool:
+    """All parts at most 255; long ones are over it whatever they are, leading zeros aside."""
+    parts = [p.lstrip("0") for p in quad.split(".")]
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans by rule, sorted by start and kind; matches of a kind don't overlap."""
-    found: list[Span] = []
-    if "@" in text:
-        found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
-    for m in _IP.finditer(text):
-        # Long parts of digits are over 255 whatever they are, leading zeros aside.
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            found.append((*m.span(), "ip"))
+    found: list[Span] = [(a, b, "email") for a, b in _emails(text)]
+    for a, b in _dotted_quads(text):
+        if _small_parts(text[a:b]):
+            found.append((a, b, "ip"))
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
         if 12 <= len(digits) <= 19 and _luhn(digits):
@@ -379,7 +416,7 @@ def plausible(text: str, start: int, end: int, kind: str) -> tuple[int, int] | N
         return None
     good = {
         "email": lambda: body.count("@") == 1 and "." in body.split("@")[1].strip("."),
-        "ip": lambda: bool(_IP.fullmatch(body)) and all(int(p) <= 255 for p in body.split(".")),
+        "ip": lambda: list(_dotted_quads(body)) == [(0, len(body))] and _small_parts(body),
         "card": lambda: 12 <= len(digits) <= 19 and _luhn(digits),
         "phone": lambda: 9 <= len(digits) <= 15,
     }

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -185,3 +187,26 @@ def test_tagger_of_the_smaller_table_agrees_with_the_rules(spark, sf_dir):
     found = [set(f) for f in pt.added_spans(model, texts, [[] for _ in texts])]
     right = sum(len(t & f) for t, f in zip(truth, found, strict=True))
     assert right / sum(map(len, truth)) > 0.9 and right / sum(map(len, found)) > 0.9
+
+
+def test_rules_equal_the_plain_patterns():
+    """Emails and addresses found from their anchors are the leftmost matches of the patterns."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    quad = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    r = random.Random(12)
+    for _ in range(4_000):
+        text = "".join(r.choices("a1.@-% é", weights=[4, 4, 5, 3, 1, 1, 1, 1], k=r.randrange(40)))
+        assert list(pt._emails(text)) == [m.span() for m in email.finditer(text)], text
+        assert list(pt._dotted_quads(text)) == [m.span() for m in quad.finditer(text)], text
+
+
+@pytest.mark.parametrize("unit", ["7", "a", "a.", "1.", "a@", "+1", "4 ", "1.1.1.1.", "@", "a@b."])
+def test_rules_are_linear_on_long_runs(unit):
+    took = []
+    for size in (500_000, 2_000_000):
+        text = unit * (size // len(unit)) + " a@b.org 1.2.3.4"
+        begin = time.perf_counter()
+        spans = pt.base_spans(text)
+        took.append(time.perf_counter() - begin)
+        assert (len(text) - 7, len(text), "ip") in spans
+    assert took[1] < 8 * max(took[0], 0.2) and took[1] < 20
