@@ -142,6 +142,24 @@ def parse_cache_status(
     )
 
 
+def content_status(
+    files: DataFrame, manifest: DataFrame, parser: str = "parser", content: str = "content"
+) -> DataFrame:
+    """`files` without their content, with `digest` and `cached`: its bytes decide.
+
+    `manifest` has `parser` and `digest` of what was parsed. A file that was touched, moved
+    or copied is a hit, one that changed a miss, whatever its time. Contents are digested
+    as they are scanned and not shuffled. Without content the digest is null, a miss.
+    """
+    known = manifest.select(parser, "digest").distinct().withColumn("_known", F.lit(True))
+    digested = files.withColumn("digest", F.sha2(F.col(content), 256)).drop(content)
+    return (
+        digested.join(known, [parser, "digest"], "left")
+        .withColumn("cached", F.coalesce("_known", F.lit(False)))
+        .select(*[c for c in files.columns if c != content], "digest", "cached")
+    )
+
+
 def parse_outcome(papers: DataFrame, texts: DataFrame) -> DataFrame:
     """Join parsed texts; a paper without one gets the neutral record.
 

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from folioscope.cluster import new_run_dir
+from folioscope.fixed_values import FLAT_SOURCE, NESTED_SOURCE
+from folioscope.operators.author_lookup import LookupSource, lookup_authors
+from folioscope.operators.authors import unnest_authors
 from folioscope.operators.evaluation_table import EvaluationTable
+from folioscope.operators.extraction import content_status
 from folioscope.operators.language_profiles import FACTORS, SLOTS, label_languages, learn_profiles
 from folioscope.operators.membership import pending_by_filter, settled_filter
 from folioscope.operators.phrases import match_phrases, phrase_table
 from folioscope.operators.ranking import number_all, running_top_k
 from folioscope.sources.papers import newest_dated
+from folioscope.sources.profiles import from_flat_payload, from_nested_payload
 from suite.ctes import BEST_FIRST, HAYSTACK, sql
 from suite.registry import query
-from suite.views import evaluation_store, papers, scored, table
+from suite.views import authored_papers, evaluation_store, papers, scored, table
 
 PHRASE_LETTERS = 6
 RUNNING_K = 5
@@ -198,3 +205,73 @@ def dated(spark, sf_dir):
         "date"
     ).parquet(path)
     return newest_dated(spark, path).select("id", "published", "source")
+
+
+@query(
+    "content_cache_status",
+    sql(
+        """
+        SELECT id AS basename, 'structured' AS parser, sha256(summary) AS digest,
+               sha256(summary) IN (
+                 SELECT sha256(CASE WHEN quality = 1 THEN d.text ELSE d.text || '.' END)
+                 FROM documents d JOIN labels USING (doc_id)) AS cached
+        FROM papers""",
+        "papers",
+    ),
+)
+def content_cache(spark, sf_dir):
+    """Labelled papers were parsed before; those of quality 0 have lost a full stop since."""
+    files = papers(spark, sf_dir).select(
+        F.col("id").alias("basename"),
+        F.lit("structured").alias("parser"),
+        F.encode("summary", "UTF-8").alias("content"),
+    )
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    text = F.when(F.col("quality") == 1, F.col("text")).otherwise(F.concat("text", F.lit(".")))
+    parsed = documents.join(labels, "doc_id").select(
+        F.lit("structured").alias("parser"), F.sha2(text.cast("binary"), 256).alias("digest")
+    )
+    return content_status(files, parsed).select("basename", "parser", "digest", "cached")
+
+
+def ask_flat(names):
+    """The first service knows two customers of three, and fails on some calls."""
+    numbers = [int(n[-9:]) for n in names]
+    if any(n % 97 == 0 for n in numbers):
+        raise OSError("the service is busy")
+    hit = [{"hIndex": n % 40, "paperCount": n, "citationCount": 2 * n} for n in numbers]
+    return [json.dumps({"data": [h] if n % 3 else []}) for n, h in zip(numbers, hit, strict=True)]
+
+
+def ask_nested(names):
+    """The second one knows the even ones."""
+    numbers = [int(n[-9:]) for n in names]
+    return [
+        json.dumps({"results": [{"works_count": n + 7, "cited_by_count": 3 * n}]}) if n % 2 == 0 else None
+        for n in numbers
+    ]
+
+
+@query(
+    "author_lookup",
+    sql(
+        """
+        SELECT name,
+          CASE WHEN n % 3 > 0 AND n % 97 > 0 THEN n % 40 END AS h_index,
+          CASE WHEN n % 3 > 0 AND n % 97 > 0 THEN n WHEN n % 2 = 0 THEN n + 7 END AS paper_count,
+          CASE WHEN n % 3 > 0 AND n % 97 > 0 THEN 2 * n WHEN n % 2 = 0 THEN 3 * n END AS citation_count,
+          CASE WHEN n % 3 > 0 AND n % 97 > 0 THEN 'semantic_scholar'
+               WHEN n % 2 = 0 THEN 'openalex' ELSE 'none' END AS source_used
+        FROM (SELECT DISTINCT name, CAST(right(name, 9) AS INTEGER) AS n FROM authored)""",
+        "authored",
+    ),
+)
+def author_lookup(spark, sf_dir):
+    """Every author asked of two services in turn, of which the first is at times busy."""
+    sources = [
+        LookupSource(FLAT_SOURCE, ask_flat, from_flat_payload),
+        LookupSource(NESTED_SOURCE, ask_nested, from_nested_payload),
+    ]
+    names = unnest_authors(authored_papers(spark, sf_dir))
+    found = lookup_authors(names, sources, new_run_dir(spark, "lookups"))
+    return found.drop("affiliations")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 from datetime import datetime
 
@@ -10,13 +11,14 @@ from tests.conftest import rows
 from folioscope.operators.extraction import (
     extract_text,
     concat_pages,
+    content_status,
     full_text_of_parts,
     page_parts,
     parse_cache_status,
     parse_outcome,
 )
 from folioscope.operators.sentences import ROOT, SECTIONS, key_sentence, outline
-from folioscope.sources.binaries import extract_binaries, read_binaries
+from folioscope.sources.binaries import extract_binaries, read_binaries, read_unsettled
 from folioscope.sources.papers import pending_content
 
 PAGES = [
@@ -205,3 +207,36 @@ def test_outline(spark):
     for r in outline(df).collect():
         assert r["mindmap_markdown"] == outline_in_python(r["full_text"])
     assert outline(df.select(F.lit("one two").alias("full_text"))).first()[1].count("\n") == 2
+
+
+def test_contents_decide_what_is_parsed_again(spark, tmp_path):
+    """A touched file is a hit, one that changed in the same second and length a miss."""
+    folder = tmp_path / "files"
+    folder.mkdir()
+    at = datetime(2024, 1, 1, 12).timestamp()
+
+    def write(name, body, when=at):
+        (folder / name).write_bytes(body)
+        os.utime(folder / name, (when, when))
+
+    for name in ("same.pdf", "touched.pdf", "racy.pdf", "old.pdf"):
+        write(name, name.encode())
+    made = read_binaries(spark, str(folder))
+    digest, length = F.sha2("content", 256).alias("digest"), F.length("content").cast("long")
+    later = F.when(F.col("basename") == "racy.pdf", 0).otherwise(60)
+    parsed_at = (F.col("mtime") + F.make_dt_interval(secs=later)).alias("parsed_at")
+    manifest = made.select(
+        "basename", "mtime", length.alias("length"), digest, parsed_at, F.lit("plain").alias("parser")
+    )
+    manifest = spark.createDataFrame(manifest.collect(), manifest.schema)
+    assert {r["basename"] for r in read_unsettled(spark, str(folder), manifest).collect()} == {"racy.pdf"}
+    write("touched.pdf", b"touched.pdf", at + 100)
+    write("racy.pdf", b"rAcy.pdf")
+    write("new.pdf", b"new", at + 5)
+    unsettled = read_unsettled(spark, str(folder), manifest).withColumn("parser", F.lit("plain"))
+    status = content_status(unsettled, manifest)
+    assert "content" not in status.columns
+    got = {r["basename"]: r["cached"] for r in status.collect()}
+    assert got == {"touched.pdf": True, "racy.pdf": False, "new.pdf": False}
+    other = content_status(unsettled.withColumn("parser", F.lit("structured")), manifest)
+    assert other.where("cached").count() == 0
