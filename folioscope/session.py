@@ -11,6 +11,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Keyed streaming state needs a store that keeps each key apart.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Rows hold whole texts: small Arrow batches keep a Python worker's memory flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }

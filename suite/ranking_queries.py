@@ -13,6 +13,12 @@ from folioscope.sinks.exports import api_envelope, csv_view, full_view, json_row
 from folioscope.sinks.report import REPORT_TITLE, paper_cards, report_lines, report_sections
 from folioscope.sources.papers import within_days
 from folioscope.streaming.ranking_stream import rank_stream, read_best, read_progress
+from folioscope.streaming.source_topk import (
+    PROVIDER,
+    PROVIDER_KEY,
+    rank_by_source,
+    read_source_best,
+)
 from suite import params as P
 from suite.ctes import BEST_FIRST, sql
 from suite.registry import query
@@ -42,6 +48,14 @@ def _with_gaps(rows):
 _GAPS = "CASE WHEN language = 'de' THEN title END"
 
 
+def _arriving(spark, sf_dir):
+    """The documents as a stream of several batches."""
+    source, documents = new_run_dir(spark, "arriving"), table(spark, sf_dir, "documents")
+    documents.repartition(4, "doc_id").write.parquet(source)
+    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1)
+    return as_papers(stream.parquet(source))
+
+
 def _candidates(spark, sf_dir):
     """Scores of the relevant papers of the time window; the long texts stay behind."""
     recent = within_days(papers(spark, sf_dir), P.AS_OF, P.DAYS)
@@ -208,12 +222,7 @@ def stream(spark, sf_dir):
 
     Papers whose rating can't be read go to quarantine.
     """
-    source, path = new_run_dir(spark, "arriving"), new_run_dir(spark, "stream-topk")
-    documents = table(spark, sf_dir, "documents")
-    documents.repartition(4, "doc_id").write.parquet(source)
-    arriving = (
-        spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    )
+    path, documents = new_run_dir(spark, "stream-topk"), table(spark, sf_dir, "documents")
 
     def score_batch(batch):
         unread = F.when(F.col("parse_status") != "ok", F.lit("unreadable rating"))
@@ -221,7 +230,7 @@ def stream(spark, sf_dir):
             "id", "published", "title", "breakthrough", "final_score", unread.alias("error")
         )
 
-    writer = rank_stream(as_papers(arriving), score_batch, P.TOP_K, path)
+    writer = rank_stream(_arriving(spark, sf_dir), score_batch, P.TOP_K, path)
     writer.trigger(availableNow=True).start().awaitTermination()
     shape = score_batch(as_papers(documents)).schema
     counts = read_progress(spark, path).orderBy(F.desc("batch")).first()
@@ -231,3 +240,28 @@ def stream(spark, sf_dir):
         .withColumn("arrived", F.lit(counts["arrived"] if counts else 0).cast("long"))
         .withColumn("analysed", F.lit(counts["analysed"] if counts else 0).cast("long"))
     )
+
+
+@query(
+    "stream_source_topk",
+    sql(
+        f"""
+        SELECT source, string_agg(id, ',' ORDER BY n) AS best_ids FROM (
+          SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY {BEST_FIRST}) AS n
+          FROM scored QUALIFY n <= {P.HEAD_CAP})
+        GROUP BY source""",
+        "scored",
+    ),
+)
+def stream_by_source(spark, sf_dir):
+    """The best papers of each source, kept in the stream's keyed state."""
+    path = new_run_dir(spark, "stream-sources")
+    # A session of its own, so that the caller's settings stay as they are.
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set(PROVIDER_KEY, PROVIDER)
+    rows = score(_arriving(own, sf_dir)).select("id", "source", "published", "final_score")
+    rank_by_source(rows, P.HEAD_CAP, path).trigger(availableNow=True).start().awaitTermination()
+    best = read_source_best(spark, path)
+    return best.select("source", F.array_join("best_ids", ",").alias("best_ids"))

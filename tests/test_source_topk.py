@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+from folioscope.cluster import new_run_dir
+from folioscope.streaming.source_topk import rank_by_source, read_source_best
+
+SCHEMA = "id STRING, source STRING, published TIMESTAMP, final_score DOUBLE"
+
+
+def data(n=120):
+    r = random.Random(7)
+    start = datetime(2024, 1, 1)
+    return [
+        (f"{i:03}", r.choice(["a", "a", "b", None]), r.choice([None, start + timedelta(hours=i % 9)]), r.choice([None, 1.0, 2.0, i / 7]))
+        for i in range(n)
+    ]
+
+
+def best(rows, k):
+    out = {}
+    for source in {r[1] for r in rows}:
+        own = {r for r in rows if r[1] == source}
+        order = sorted(own, key=lambda r: (-(r[3] or 0.0), r[2] is None, -(r[2].timestamp() if r[2] else 0), r[0]))
+        out[source] = [r[0] for r in order[:k]]
+    return out
+
+
+def run(spark, batches, path, k=4):
+    arriving = new_run_dir(spark, "arriving")
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(arriving)
+    rank_by_source(stream, k, path).trigger(availableNow=True).start().awaitTermination()
+    return {r["source"]: list(r["best_ids"]) for r in read_source_best(spark, path).collect()}
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_end_state_does_not_depend_on_batches_order_or_repeats(spark, files):
+    rows = data()
+    shuffled = random.Random(files).sample(rows, len(rows))
+    batches = [shuffled[i::files] for i in range(files)]
+    batches.append(batches[0])  # once more
+    assert run(spark, batches, new_run_dir(spark, "stream")) == best(rows, 4)
+
+
+def test_nothing_arrived(spark):
+    assert read_source_best(spark, new_run_dir(spark, "stream")).count() == 0
