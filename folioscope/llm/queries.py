@@ -134,4 +134,9 @@ QUERIES: dict[str, Query] = {
     "op12_toxicity": op12_toxicity,
     "op13_spelling": op13_spelling,
 }
-ORACLE: dict[str, str] = {"op11_dialogue_repair": oracles.DIALOGUE_REPAIR}
+ORACLE: dict[str, str] = {
+    "op2_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op4_host_rules": oracles.HOST_RULES,
+    "op5_vectors": oracles.VECTORS,
+    "op11_dialogue_repair": oracles.DIALOGUE_REPAIR,
+}
