@@ -28,6 +28,8 @@ from folioscope.llm.text_arrays import in_small_batches, mix64, slices, words_of
 #: UTF-8 bytes of text in a batch, on average, and batches for each range of keys.
 BATCH_BYTES = 8_000_000
 BATCHES_PER_RANGE = 2
+#: Tokens scored at once; one longer text is scored whole.
+_RUN = 100_000
 
 _U = np.uint64
 _END = mix64(np.array([0xE0D], dtype=np.uint64))
@@ -57,10 +59,13 @@ class _Batch:
         context[1:] = token[:-1]
         context[self.begin[:-1]] = _BEGIN
         pair = mix64(context * _U(0xD6E8FEB86659FD93) + token) >> _U(64 - pair_bits)
-        self.words, self.word_at = np.unique(token, return_inverse=True)
-        self.pairs, self.pair_at = np.unique(pair, return_inverse=True)
-        self.first = np.zeros(len(token), dtype=bool)
-        self.first[self.begin[:-1]] = True
+        del context
+        # Places in a batch fit 32 bits.
+        self.pairs, at = np.unique(pair, return_inverse=True)
+        del pair
+        self.pair_at = at.astype(np.int32)
+        self.words, at = np.unique(token, return_inverse=True)
+        self.word_at = at.astype(np.int32)
         self.context_at = np.empty_like(self.word_at)
         self.context_at[1:] = self.word_at[:-1]
         # A text's start is a context seen as often as an end.
@@ -228,7 +233,17 @@ def _answered(parts: list[pa.RecordBatch]) -> tuple[list, list[np.ndarray]]:
             if r is not None:
                 answers[r] = [_unpack_counts(p.column(c)[i].as_py()) for c in _COUNTS]
     columns = zip(*(answers[r] for r in sorted(answers)), strict=True)
-    return texts, [np.concatenate(c).astype(np.float64) for c in columns]
+    return texts, [np.concatenate(c) for c in columns]
+
+
+def _text_runs(begin: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts, from the first to before the last, of up to `most` tokens, or one text."""
+    first = 0
+    while first < len(begin) - 1:
+        last = int(np.searchsorted(begin, begin[first] + most, side="right")) - 1
+        last = max(first + 1, last)
+        yield first, last
+        first = last
 
 
 def _held_out(batches: Iterator[pa.RecordBatch], pair_bits: int) -> Iterator[pa.RecordBatch]:
@@ -252,29 +267,35 @@ def _score(
 ):
     n, v = totals["n_all"], totals["v_all"]
     for _, parts in _runs(batches, "batch"):
-        texts, (word_kept, word_deleted, pair_kept, pair_deleted) = _answered(parts)
-        word, pair = word_kept + word_deleted, pair_kept + pair_deleted
+        texts, counts = _answered(parts)
+        parts.clear()  # the answers are unpacked
+        word = counts[0].astype(np.uint64) + counts[1]
+        pair = counts[2].astype(np.uint64) + counts[3]
+        del counts
         batch = _Batch(texts, pair_bits)
-        c, context = word[batch.word_at], word[batch.context_at]
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        weight = mix[_bucket(context)]
-        chance = (
-            weight[:, 0] * pair[batch.pair_at] / np.maximum(context, 1)
-            + weight[:, 1] * c / max(n, 1)
-            + weight[:, 2] / (v + 1)
-        )
-        begin = batch.begin[:-1]
         ids = pa.concat_arrays([p.column("doc_id") for p in texts])
-        yield pa.RecordBatch.from_arrays(
-            [
-                ids,
-                pa.array(batch.n_tokens.astype(np.int64)),
-                pa.array(np.add.reduceat((c > 0).astype(np.int64), begin)),
-                pa.array(np.add.reduceat(base, begin)),
-                pa.array(np.add.reduceat(np.log10(chance), begin)),
-            ],
-            ["doc_id", "n_tokens", "n_known", "base_score", "score"],
-        )
+        for first, last in _text_runs(batch.begin, _RUN):
+            tokens = slice(int(batch.begin[first]), int(batch.begin[last]))
+            c = word[batch.word_at[tokens]].astype(np.float64)
+            context = word[batch.context_at[tokens]].astype(np.float64)
+            weight = mix[_bucket(context)]
+            chance = (
+                weight[:, 0] * pair[batch.pair_at[tokens]] / np.maximum(context, 1)
+                + weight[:, 1] * c / max(n, 1)
+                + weight[:, 2] / (v + 1)
+            )
+            begin = batch.begin[first:last] - batch.begin[first]
+            base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids[first:last],
+                    pa.array(batch.n_tokens[first:last].astype(np.int64)),
+                    pa.array(np.add.reduceat((c > 0).astype(np.int64), begin)),
+                    pa.array(np.add.reduceat(base, begin)),
+                    pa.array(np.add.reduceat(np.log10(chance), begin)),
+                ],
+                ["doc_id", "n_tokens", "n_known", "base_score", "score"],
+            )
 
 
 def learn_mixture(items: DataFrame, totals: dict, rounds: int = 40) -> np.ndarray:
