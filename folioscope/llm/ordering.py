@@ -24,10 +24,10 @@ def running_total(
     partition is summed across partitions; within each a window runs. Null values
     count as 0. Rows that tie in all of `order` come in any order.
     """
+    # Dealing by range reads its input twice, so what is computed is settled first.
+    valued = settle(df.withColumn("_value", F.coalesce(value.cast("long"), F.lit(0))))
     placed = settle(
-        df.withColumn("_value", F.coalesce(value.cast("long"), F.lit(0)))
-        .repartitionByRange(*order)
-        .withColumn("_range", F.spark_partition_id())
+        valued.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     )
     sums = placed.groupBy("_range").agg(F.sum("_value").alias("_sum"))
     # One row for each shuffle partition, which bounds this window and the broadcast.
