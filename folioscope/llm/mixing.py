@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.cluster import settle
+from folioscope.cluster import broadcast_if_small, settle
 from folioscope.llm.ordering import WORD, running_total
 
 #: Words of a block.
 BLOCK = 256
+#: Tasks that open slots, at most.
+_OPENERS = 8_192
 #: Rounds of the index permutation.
 _ROUNDS = 16
 _SEED = 7_001
@@ -123,7 +125,11 @@ def plan_mix(
         "run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / run)))
     )
     first = F.col("run") * run
-    slots = runs.repartition("source_rank", "pass_no", "run").withColumn(
+    # A stated number of partitions is not merged at run time: a few small rows open into
+    # very many. Each opens some runs, whatever the size of the mix.
+    each = F.floor((F.ceil(F.col("pass_words") / block) - 1) / run) + 1
+    tasks = min(max(1, passes.agg(F.sum(each)).first()[0] or 0), _OPENERS)
+    slots = runs.repartition(tasks, "source_rank", "pass_no", "run").withColumn(
         "index", F.explode(F.sequence(first, F.least(first + run - 1, F.col("last"))))
     )
     key = [F.col("source_rank"), F.col("pass_no")]
@@ -170,8 +176,9 @@ def _pieces(streamed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     start = F.greatest(head, F.col("at")) - F.col("at")
     end = F.least(head + F.col("words"), F.col("at") + F.col("size")) - F.col("at")
     return joined.select(
-        "doc_id", "text_key", "before", "pass_no", "shard", start.alias("start"), end.alias("end")
-    ).where("end > start")
+        "doc_id", "text_key", "before", "at", "source_rank", "pass_no", "block_no", "shard",
+        start.alias("start"), end.alias("end"),
+    ).where("end > start")
 
 
 def mix_counts(docs: DataFrame, block: int = BLOCK, **plan: object) -> DataFrame:
@@ -207,10 +214,13 @@ def mix_texts(docs: DataFrame, block: int = BLOCK, **plan: object) -> DataFrame:
     A document taken whole keeps its text; of one taken in part, the words taken are
     joined by single spaces. `n_chars`, if there, is that of the new text. Rows that
     agree in id and text are one document here, and each of them gets its words. A text
-    without words is in no mix. Columns stay those of `docs`.
+    without words is in no mix. Columns stay those of `docs`, whatever their names.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_text_key", F.xxhash64(text))
+    # The caller's columns travel as one, so that none can be mistaken for the plan's.
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64(text).alias("_text_key")
+    )
     # Ids and sizes alone decide; texts meet the plan at the end, in one join.
     streamed, _, slots = plan_mix(docs, block=block, once=True, **plan)
     pieces = _pieces(streamed, slots, block).groupBy("before", "pass_no").agg(
@@ -219,23 +229,59 @@ def mix_texts(docs: DataFrame, block: int = BLOCK, **plan: object) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_pieces"),
         F.sum(F.col("end") - F.col("start")).alias("_taken"),
     )
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
-    cut = F.flatten(
-        F.transform(
-            "_pieces",
-            lambda p: F.slice(
-                F.col("_words"), (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")
-            ),
-        )
-    )
+    cut = F.flatten(F.transform("_pieces", lambda p: _cut(F.col("_words"), p["start"], p["end"])))
     mixed = keyed.join(
         pieces.hint("merge"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")),
-    ).withColumn("_words", words)
-    new = F.when(F.col("_taken") == F.size("_words"), F.col("text")).otherwise(
+        F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")),
+    ).withColumn("_words", _words_of(F.col("_row")["text"]))
+    new = F.when(F.col("_taken") == F.size("_words"), F.col("_row")["text"]).otherwise(
         F.array_join(cut, " ")
     )
-    out = mixed.withColumn("text", new)
+    out = mixed.withColumn("_new", new)
+    values = {c: F.col("_row")[c] for c in docs.columns} | {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        values["n_chars"] = F.length("_new").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(values[c].alias(c) for c in docs.columns))
+
+
+def _words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({WORD})"))
+
+
+def _cut(words: Column, start: Column, end: Column) -> Column:
+    return F.slice(words, (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def mix_shards(docs: DataFrame, block: int = BLOCK, **plan: object) -> DataFrame:
+    """The mix as packed blocks: `shard`, `place`, `source`, `pass_no`, `block_no`, `n_words`, `text`.
+
+    One row for each slot: the words that its block takes, joined by single spaces, `block`
+    of them but for the last ones of a source. How many slots of each source a shard holds
+    is multinomial; `place` orders the slots of a shard by a keyed hash. Write it
+    partitioned by shard. Rows that agree in id and text are one document; texts without
+    words, nulls and an empty table give nothing. Reruns agree.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = (
+        docs.select(F.col("doc_id").alias("_own"), text.alias("text"), F.xxhash64(text).alias("_text_key"))
+        .groupBy("_own", "_text_key")
+        .agg(F.min("text").alias("text"))
+    )
+    streamed, sources, slots = plan_mix(docs, block=block, once=True, **plan)
+    pieces = _pieces(streamed, slots, block)
+    met = pieces.join(
+        texts,
+        F.col("doc_id").eqNullSafe(F.col("_own")) & (F.col("text_key") == F.col("_text_key")),
+    )
+    piece = F.array_join(_cut(_words_of(F.col("text")), F.col("start"), F.col("end")), " ")
+    entry = F.struct((F.col("at") + F.col("start")).alias("word"), piece.alias("piece"))
+    key = ["source_rank", "pass_no", "block_no", "shard"]
+    packed = met.groupBy(*key).agg(  # a block's words at most
+        F.sum(F.col("end") - F.col("start")).alias("n_words"),
+        F.array_join(F.sort_array(F.collect_list(entry))["piece"], " ").alias("text"),
+    )
+    names = broadcast_if_small(sources.select("source_rank", "source"))
+    place = F.xxhash64(F.lit(_SEED), F.lit(1), "source_rank", "pass_no", "block_no")
+    return packed.join(names, "source_rank").select(
+        "shard", place.alias("place"), "source", "pass_no", "block_no", "n_words", "text"
+    )

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from folioscope.llm.mixing import mix_counts, mix_texts
+from folioscope.llm.mixing import mix_counts, mix_shards, mix_texts, plan_mix
 
 from tests.conftest import plan_of
 
@@ -103,3 +103,46 @@ def test_empty_tables(spark):
         got = mix_counts(docs).collect()
         assert [(r.size, r.taken, r.target) for r in got] == [(0, 0, 0.0)] * len(texts)
         assert mix_texts(docs).collect() == []
+
+
+def test_shards_hold_the_mix_in_blocks(spark):
+    """Each slot once, whole words of its source's stream, as many as are counted."""
+    texts, sources = corpus()
+    docs = brute.docs_of(spark, texts, sources)
+    rows = mix_shards(docs, block=16, shards=5).collect()
+    assert len({(r.source, r.pass_no, r.block_no) for r in rows}) == len(rows)
+    assert all(r.n_words == len(r.text.split(" ")) <= 16 for r in rows)
+    assert {r.shard for r in rows} <= set(range(5)) and len({r.place for r in rows}) == len(rows)
+    words = {}
+    for text, source in zip(texts, sources, strict=True):
+        words.setdefault(source, set()).update(brute.words(text))
+    assert all(set(r.text.split(" ")) <= words[r.source] for r in rows)
+    taken = sum(r.taken for r in mix_counts(docs, block=16).collect())
+    assert sum(r.n_words for r in rows) == taken
+    again = mix_shards(docs.repartition(4), block=16, shards=5).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, rows))
+    assert mix_shards(docs.limit(0)).count() == 0
+
+
+def test_source_counts_of_shards_are_multinomial(spark):
+    """Against equal chances of all shards for each source's slots, by chi-square."""
+    texts = [" ".join(f"{s}{k}" for k in range(4_000)) for s in "ab" for _ in range(4)]
+    docs = brute.docs_of(spark, texts, [t[0] for t in texts])
+    _, _, slots = plan_mix(docs, block=8, shards=10)
+    counts = slots.groupBy("source_rank", "shard").count().collect()
+    for rank in (0, 1):
+        own = [r["count"] for r in counts if r.source_rank == rank]
+        even = sum(own) / 10
+        chi = sum((n - even) ** 2 / even for n in own)
+        assert len(own) == 10 and sum(own) > 1_000
+        assert 1.2 < chi < 28  # 9 degrees: 0.1 % on either side
+
+
+def test_columns_of_any_name(spark):
+    docs = brute.docs_of(spark, ["x y z", "q r"], ids=[1, 2])
+    for name in ("_text_key", "_words", "_id", "_own", "_row", "_new", "_taken"):
+        docs = docs.withColumn(name, docs.doc_id * 10)
+    mixed = mix_texts(docs)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        assert {r[c] for c in docs.columns if c[0] == "_"} == {r.doc_id * 10}
