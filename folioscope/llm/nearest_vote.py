@@ -183,13 +183,13 @@ def learn(
     """Fit on at most `sample` texts of each label, those first in a keyed hash order.
 
     Rows in fold 0 (`remainder` 0) and null labels are not learnt from. The label shares
-    are those of all labels outside fold 0.
+    are those of all labels outside fold 0; without any, label 1 has a share of 0.5.
     """
     usable = labels.where(
         F.col("quality").isin(0, 1) & (remainder("doc_id", folds) != 0)
     ).select("doc_id", F.col("quality").cast("int").alias("label"))
     counts = dict(usable.groupBy("label").count().collect())  # two rows
-    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     chosen = [
         hash_sample(
             usable.where(F.col("label") == value), "doc_id", sample
@@ -206,12 +206,12 @@ def learn(
         .limit(2 * sample)  # documents may repeat an id
         .select("label", "text")
         .coalesce(1)
-        .mapInArrow(lambda it: _fit_rows(it, share or 0.5, dims), "model binary")
+        .mapInArrow(lambda it: _fit_rows(it, share, dims), "model binary")
         .collect()
     )
     if not rows:
         none = np.zeros((0, _WIDTH), dtype=np.float32)
-        return fit_neighbours(none, np.zeros(0, dtype=np.int64), share or 0.5, dims)
+        return fit_neighbours(none, np.zeros(0, dtype=np.int64), share, dims)
     return pickle.loads(bytes(rows[0]["model"]))
 
 

@@ -61,6 +61,9 @@ def test_without_text_or_labels(spark):
     labelled = spark.createDataFrame([(3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.score for r in nv.score(docs, nv.learn(docs, labelled)).collect()}
     assert got[0] == got[1] and all(0 <= s <= 1 for s in got.values())
+    zeros = spark.createDataFrame([(3, 0, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in nv.score(docs, nv.learn(docs, zeros)).collect()}
+    assert got[0] == got[1] == 0 and all(s == 0 for s in got.values())
     none = docs.limit(0)
     assert nv.score(none, nv.learn(docs, labelled)).collect() == []
 
