@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from folioscope.cluster import settle
 from folioscope.llm.nearest_vote import remainder
-from folioscope.llm.text_arrays import in_small_batches, mix64, slices, words_of
+from folioscope.llm.text_arrays import distinct, in_small_batches, mix64, slices, words_of
 
 #: UTF-8 bytes of text in a batch, on average, and batches for each range of keys.
 BATCH_BYTES = 8_000_000
-BATCHES_PER_RANGE = 2
+BATCHES_PER_RANGE = 1
 #: Tokens scored at once; one longer text is scored whole.
 _RUN = 100_000
 
@@ -53,6 +53,7 @@ class _Batch:
                 tokens.append(np.insert(words.hashes, words.first[1:], _END))
                 counts.append(many + 1)
         token = np.concatenate(tokens)
+        del tokens
         self.n_tokens = np.concatenate(counts)
         self.begin = np.concatenate([[0], np.cumsum(self.n_tokens)])
         context = np.empty_like(token)
@@ -61,11 +62,10 @@ class _Batch:
         pair = mix64(context * _U(0xD6E8FEB86659FD93) + token) >> _U(64 - pair_bits)
         del context
         # Places in a batch fit 32 bits.
-        self.pairs, at = np.unique(pair, return_inverse=True)
+        self.pairs, self.pair_at = distinct(pair)
         del pair
-        self.pair_at = at.astype(np.int32)
-        self.words, at = np.unique(token, return_inverse=True)
-        self.word_at = at.astype(np.int32)
+        self.words, self.word_at = distinct(token)
+        del token
         self.context_at = np.empty_like(self.word_at)
         self.context_at[1:] = self.word_at[:-1]
         # A text's start is a context seen as often as an end.
@@ -190,16 +190,19 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ):
             keys = [_unpack(x) for x in table[field].to_pylist()]
             cuts = np.cumsum([len(k) for k in keys])[:-1]
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+            joined = np.concatenate(keys)
             del keys
+            found, at = distinct(joined)
+            del joined
             sums = []
             for name in (kept, deleted):
                 counts = np.concatenate(_numbers(table[name]))
                 # Sums of whole numbers in doubles are exact far beyond any count here.
-                added = np.bincount(at, weights=counts, minlength=len(distinct))
+                added = np.bincount(at, weights=counts, minlength=len(found))
+                del counts
                 sums.append(added)
-                answer = added.astype(np.uint64)[at]
-                out[name] = [_pack_counts(a) for a in np.split(answer, cuts)]
+                answer = added.astype(np.uint64)
+                out[name] = [_pack_counts(answer[a]) for a in np.split(at, cuts)]
             totals.append(sums)
         kept, both = totals[0][0], totals[0][0] + totals[0][1]
         rows = len(out["batch"])
@@ -232,8 +235,15 @@ def _answered(parts: list[pa.RecordBatch]) -> tuple[list, list[np.ndarray]]:
         for i, r in enumerate(ranges):
             if r is not None:
                 answers[r] = [_unpack_counts(p.column(c)[i].as_py()) for c in _COUNTS]
-    columns = zip(*(answers[r] for r in sorted(answers)), strict=True)
-    return texts, [np.concatenate(c) for c in columns]
+    ranges = sorted(answers)
+    # The packed answers of a column go as soon as they are joined.
+    return texts, [np.concatenate([answers[r].pop(0) for r in ranges]) for _ in _COUNTS]
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of counts, in 32 bits where all are sure to fit."""
+    narrow = int(a.max(initial=0)) + int(b.max(initial=0)) < 1 << 32
+    return np.add(a, b, dtype=np.uint32 if narrow else np.uint64)
 
 
 def _text_runs(begin: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -269,8 +279,7 @@ def _score(
     for _, parts in _runs(batches, "batch"):
         texts, counts = _answered(parts)
         parts.clear()  # the answers are unpacked
-        word = counts[0].astype(np.uint64) + counts[1]
-        pair = counts[2].astype(np.uint64) + counts[3]
+        word, pair = _sum(*counts[:2]), _sum(*counts[2:])
         del counts
         batch = _Batch(texts, pair_bits)
         ids = pa.concat_arrays([p.column("doc_id") for p in texts])

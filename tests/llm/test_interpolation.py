@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 
 from folioscope.llm import interpolation
 from folioscope.llm.interpolation import learn_mixture, score_texts
+from folioscope.llm.text_arrays import distinct
 
 from . import brute
 
@@ -162,3 +164,27 @@ def test_pair_keys_widen_with_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(interpolation, "_SPARE_BITS", 60)
     wide = {r.doc_id: r.score for r in score_texts(docs, batch_bytes=2_000).collect()}
     assert wide == pytest.approx(narrow, rel=1e-9)
+
+
+def test_a_batch_takes_little_more_than_its_places():
+    """Peak memory of a batch's tables, by token: 32-bit places, no 64-bit inverse beside."""
+    r = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(50_000)]
+    texts = [" ".join(words[k] for k in r.integers(0, 50_000, 1_000)) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    interpolation._Batch([batch])
+    tracemalloc.start()
+    made = interpolation._Batch([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / len(made.word_at) < 60
+    assert made.word_at.dtype == made.pair_at.dtype == np.int32
+    assert (np.diff(made.words.astype(object)) > 0).all()
+
+
+def test_distinct_values_and_places():
+    for values in ([], [5], [3, 1, 3, 2**63, 1]):
+        values = np.array(values, dtype=np.uint64)
+        found, at = distinct(values)
+        assert found.tolist() == sorted(set(values.tolist()))
+        assert (found[at] == values).all()
