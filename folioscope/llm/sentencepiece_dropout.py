@@ -19,6 +19,10 @@ from folioscope.llm.text_arrays import in_small_batches, mix64, slices, string_b
 MARK = "▁"
 #: Words with more symbols are merged one by one with a heap.
 LONG_WORD = 64
+#: Bytes of text encoded at once, each some 120 bytes of work; pieces decoded at once.
+#: One longer text is worked on whole.
+_ENCODE_BYTES = 125_000
+_DECODE_PIECES = 50_000
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -26,6 +30,29 @@ _NONE = np.int64(2**62)
 _START, _MIDDLE, _END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
+@dataclass(frozen=True)
+class Pairs:
+    """`get` of a dictionary from (left, right) to the piece they make, by hash table."""
+
+    size: int
+    slots: np.ndarray
+    merged: np.ndarray
+    factor: int
+
+    def get(self, pair: tuple[int, int]) -> int | None:
+        left, right = int(pair[0]), int(pair[1])
+        if left < 0 or right < 0:
+            return None
+        last = len(self.slots) - 1
+        key = left * self.size + right
+        at = (key * self.factor & _MASK) >> (64 - last.bit_length())
+        while (found := self.slots.item(at)) >= 0:
+            if found == key:
+                return self.merged.item(at)
+            at = (at + 1) & last
+        return None
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """A SentencePiece byte-pair model as arrays.
@@ -44,7 +71,11 @@ class Vocabulary:
     first_byte: int
     data: np.ndarray
     start: np.ndarray
-    pairs: dict
+
+    @property
+    def pairs(self) -> Pairs:
+        """The piece of single pairs; a dictionary would take more than all else here."""
+        return Pairs(self.size, self.slots, self.merged, self.factor)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair makes, or -1."""
@@ -113,7 +144,7 @@ def load(model_file: str) -> Vocabulary:
     start = np.concatenate([[0], np.cumsum([len(d) for d in decoded])]).astype(np.int64)
     data = np.frombuffer(b"".join(decoded), dtype=np.uint8)
     return Vocabulary(
-        size, char_id, slots, merged, factor, priority, first_byte, data, start, pairs
+        size, char_id, slots, merged, factor, priority, first_byte, data, start
     )
 
 
@@ -127,13 +158,13 @@ def _skipped(key: np.ndarray, start, middle, end, limit: int) -> np.ndarray:
 
 def _merge_long(v: Vocabulary, symbols: list[int], key: int, limit: int) -> list[int]:
     """The agenda of one word, with a heap: best score first, then leftmost."""
-    n = len(symbols)
+    n, pairs = len(symbols), v.pairs
     after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
     agenda: list[tuple[int, int, int, int, int]] = []
 
     def offer(i: int) -> None:
         j = after[i]
-        made = v.pairs.get((symbols[i], symbols[j])) if i >= 0 and j < n else None
+        made = pairs.get((symbols[i], symbols[j])) if i >= 0 and j < n else None
         if made is None:
             return
         spot = [np.array([x]) for x in (i, j, after[j])]
@@ -294,7 +325,7 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, begin: np.ndarray) -> pa.Array:
 def _encode(batches: Iterator[pa.RecordBatch], model_file: str, limit: int):
     v = load(model_file)
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", _ENCODE_BYTES):
             keys = np.asarray(batch.column("_key")).view(np.uint64)
             ids, begin = encode_texts(v, batch.column("text"), mix64(keys), limit)
             pieces = pa.ListArray.from_arrays(
@@ -307,12 +338,19 @@ def _encode(batches: Iterator[pa.RecordBatch], model_file: str, limit: int):
 
 def _decode(batches: Iterator[pa.RecordBatch], model_file: str, column: str):
     v = load(model_file)
-    for batch in batches:
-        lists = batch.column("pieces")
-        begin = np.asarray(lists.offsets).astype(np.int64)
-        ids = np.asarray(lists.values).astype(np.int64)[begin[0] : begin[-1]]
-        text = decode_ids(v, ids, begin - begin[0]).cast(pa.string())
-        yield batch.append_column(column, text)
+    for whole in batches:
+        offsets = np.asarray(whole.column("pieces").offsets)
+        first = 0
+        while first < whole.num_rows:
+            last = int(np.searchsorted(offsets, offsets[first] + _DECODE_PIECES, side="right")) - 1
+            last = max(first + 1, last)
+            batch = whole.slice(first, last - first)
+            lists = batch.column("pieces")
+            begin = np.asarray(lists.offsets).astype(np.int64)
+            ids = np.asarray(lists.values)[begin[0] : begin[-1]].astype(np.int64)
+            text = decode_ids(v, ids, begin - begin[0]).cast(pa.string())
+            yield batch.append_column(column, text)
+            first = last
 
 
 def encode(

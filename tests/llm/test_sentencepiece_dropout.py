@@ -117,3 +117,32 @@ def test_bad_rate_and_no_rows(spark):
     with pytest.raises(ValueError, match="dropout"):
         sp.encode(docs, MODEL, dropout=1.0)
     assert sp.decode(sp.encode(docs, MODEL), MODEL).collect() == []
+
+
+def test_work_is_on_small_runs_of_a_batch(monkeypatch):
+    """A batch is encoded and decoded in runs, so a worker's memory follows the run."""
+    encoded, decoded = [], []
+    encode_texts, decode_ids = sp.encode_texts, sp.decode_ids
+    monkeypatch.setattr(
+        sp, "encode_texts", lambda v, c, *rest: (encoded.append(c.nbytes), encode_texts(v, c, *rest))[1]
+    )
+    monkeypatch.setattr(
+        sp, "decode_ids", lambda v, ids, begin: (decoded.append(len(ids)), decode_ids(v, ids, begin))[1]
+    )
+    texts = [f"some words of text {i} " * 50 for i in range(2_000)] + [None, "", "x" * 300_000, "end"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(texts), pa.array(range(len(texts)), pa.int64())], ["text", "_key"]
+    )
+    pieces = pa.Table.from_batches(sp._encode(iter([batch]), MODEL, 2**60)).combine_chunks()
+    out = pa.Table.from_batches(sp._decode(iter(pieces.to_batches()), MODEL, "decoded"))
+    assert out["decoded"].to_pylist() == [t or "" for t in texts]
+    assert sorted(encoded)[-2] < 200_000 and sorted(decoded)[-2] <= 50_000
+
+
+def test_single_pairs_are_looked_up_like_many():
+    v = sp.load(MODEL)
+    ids = np.random.default_rng(3).integers(0, v.size, (2_000, 2))
+    ids = np.concatenate([ids, [[v.char_id[ord("t")], v.char_id[ord("h")]]]])
+    many = v.lookup(ids[:, 0], ids[:, 1]).tolist()
+    assert [v.pairs.get(tuple(p)) for p in ids.tolist()] == [None if m < 0 else m for m in many]
+    assert many[-1] >= 0 and v.pairs.get((-1, 5)) is None
