@@ -48,11 +48,20 @@ def _with_gaps(rows):
 _GAPS = "CASE WHEN language = 'de' THEN title END"
 
 
+#: Batches that the documents arrive in.
+_BATCHES = 4
+
+
 def _arriving(spark, sf_dir):
-    """The documents as a stream of several batches."""
+    """The documents as a stream of several batches.
+
+    The files are as many as the table's own splits, so that all cores write them.
+    """
     source, documents = new_run_dir(spark, "arriving"), table(spark, sf_dir, "documents")
-    documents.repartition(4, "doc_id").write.parquet(source)
-    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1)
+    files = max(_BATCHES, documents.rdd.getNumPartitions())
+    documents.repartition(files, "doc_id").write.parquet(source)
+    stream = spark.readStream.schema(documents.schema)
+    stream = stream.option("maxFilesPerTrigger", -(-files // _BATCHES))
     return as_papers(stream.parquet(source))
 
 

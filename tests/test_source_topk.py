@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import random
+import tempfile
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from folioscope.cluster import new_run_dir
+from folioscope.streaming import source_topk
 from folioscope.streaming.source_topk import rank_by_source, read_source_best
 
 SCHEMA = "id STRING, source STRING, published TIMESTAMP, final_score DOUBLE"
@@ -49,3 +53,44 @@ def test_end_state_does_not_depend_on_batches_order_or_repeats(spark, files):
 
 def test_nothing_arrived(spark):
     assert read_source_best(spark, new_run_dir(spark, "stream")).count() == 0
+
+
+def test_few_rows_reach_the_state(spark, monkeypatch):
+    """Each task hands on its k best of a source only, each entry once."""
+    rows = [(f"{i % 3_000:05}", "ab"[i % 2], None, float(i % 3_000 // 10)) for i in range(12_000)]
+    handle = source_topk.BestOfSource.handleInputRows
+    with tempfile.TemporaryDirectory() as folder:
+
+        class Counting(source_topk.BestOfSource):
+            def handleInputRows(self, key, arrived, timers):
+                arrived = list(arrived)
+                with open(f"{folder}/{key[0]}", "a") as out:
+                    out.write(f"{len(arrived)}\n")
+                yield from handle(self, key, iter(arrived), timers)
+
+        monkeypatch.setattr(source_topk, "BestOfSource", Counting)
+        assert run(spark, [rows], new_run_dir(spark, "stream")) == best(rows, 4)
+        counts = [int(x) for name in "ab" for x in (Path(folder) / name).read_text().split()]
+    assert 0 < max(counts) <= 4 * 4  # tasks times k
+
+
+@pytest.mark.parametrize("run_rows", [1, 7, 10_000])
+def test_the_cut_keeps_the_best_different_entries(monkeypatch, run_rows):
+    monkeypatch.setattr(source_topk, "_RUN", run_rows)
+    r = random.Random(3)
+    entries = [
+        (r.choice(["a", "b", None]), float(r.randint(-3, 0)), r.randint(-2, 2), r.choice("xyzé\U0001f600"))
+        for _ in range(200)
+    ]
+    names = ["source", "score", "time", "id"]
+    batches = [
+        pa.RecordBatch.from_pylist([dict(zip(names, e, strict=True)) for e in entries[i : i + 20]])
+        for i in range(0, 200, 20)
+    ]
+    got = [tuple(x.values()) for b in source_topk._foremost(iter(batches), 3) for x in b.to_pylist()]
+    for source in ("a", "b", None):
+        own = sorted({e[1:] for e in entries if e[0] == source})[:3]
+        assert sorted({e[1:] for e in got if e[0] == source})[:3] == own
+    if run_rows == 10_000:
+        assert len(got) == 9
+    assert list(source_topk._foremost(iter([]), 3)) == []
